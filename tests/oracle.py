@@ -25,7 +25,7 @@ def canonical(value):
         return value
     if isinstance(value, (int, float)) or hasattr(value, "as_integer_ratio"):
         number = float(value)
-        return "nan" if math.isnan(number) else round(number, 6) + 0.0
+        return "nan" if math.isnan(number) else round(number, 9) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(canonical(v) for v in value)
     return str(value)

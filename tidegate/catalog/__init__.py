@@ -6,7 +6,7 @@ import importlib
 
 from tidegate.catalog.registry import ORACLE_SQL, QUERIES
 
-MODULES = ["decisions"]
+MODULES = ["decisions", "tables", "eventlog"]
 
 
 def load() -> dict:

@@ -63,3 +63,10 @@ def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     if rows.num_rows > max_rows:
         return pin(df)
     return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a large intermediate once and read it back, so later passes prune its columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
