@@ -55,9 +55,21 @@ def logistic(column: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-column))
 
 
-def dot(columns: list[Column], weights) -> Column:
-    """Sum of column * weight as one code-generated expression."""
-    total = F.lit(0.0)
-    for column, weight in zip(columns, weights, strict=True):
-        total = total + column * F.lit(float(weight))
-    return total
+def number(value: float) -> str:
+    """A double literal as SQL text."""
+    return f"{float(value)!r}D"
+
+
+def dot(array: str, weights) -> Column:
+    """Dot product of an array column and fixed weights as one code-generated expression."""
+    return F.expr(" + ".join(["0D", *[f"{array}[{i}] * {number(w)}" for i, w in enumerate(weights)]]))
+
+
+def array_dot(array: str, weights) -> Column:
+    """Dot product of an array (SQL text) with weights that change from step to step.
+
+    The weights are data of the expression, not part of its generated code, so an iterative fit
+    does not compile a new class per step.
+    """
+    listed = ", ".join(number(w) for w in weights)
+    return F.expr(f"aggregate(zip_with({array}, array({listed}), (a, b) -> a * b), 0D, (s, v) -> s + v)")
