@@ -6,7 +6,7 @@ import importlib
 
 from tidegate.catalog.registry import ORACLE_SQL, QUERIES
 
-MODULES = ["decisions", "tables", "eventlog"]
+MODULES = ["decisions", "tables", "eventlog", "streams"]
 
 
 def load() -> dict:
