@@ -59,7 +59,11 @@ def inf_to_null(df: DataFrame) -> DataFrame:
 
 def drop_missing(df: DataFrame) -> DataFrame:
     """Rows complete in every column, the label included."""
-    return df.na.drop("any")
+    present = [
+        f"`{name}` IS NOT NULL" + (f" AND NOT isnan(`{name}`)" if kind in ("double", "float") else "")
+        for name, kind in df.dtypes
+    ]
+    return df.filter(" AND ".join(present))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
