@@ -26,6 +26,9 @@ def exact_quantiles(
     by = list(by)
     rows = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
     sizes = small_table(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= direct_rows:
+        return _rank_whole(rows, by, probs)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     position = F.col("prob") * (F.col("n") - 1)
     targets = sizes.withColumn("prob", wanted).withColumns({
@@ -33,11 +36,10 @@ def exact_quantiles(
         "_lo": F.lit(float("-inf")), "_hi": F.lit(float("inf")),
         "_below": F.lit(0).cast("long"), "_inside": F.col("n"),
     })
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         if largest <= direct_rows:
             break
-        targets = _narrow(rows, targets, by)
+        targets = _narrow(rows, targets, by, whole=turn == 0)
         open_brackets = targets.filter(F.col("_lo") < F.col("_hi"))
         narrowed = open_brackets.agg(F.max("_inside")).first()[0] or 0
         if narrowed >= largest:
@@ -51,13 +53,14 @@ def _inside(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     return joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+def _narrow(rows: DataFrame, targets: DataFrame, by: list[str], whole: bool) -> DataFrame:
     """Brackets a few grid steps wide around each target, with exact counts below and inside."""
     keys = [*by, "prob"]
     grid = [i / GRID for i in range(GRID + 1)]
-    points = _inside(rows, targets, by).groupBy(*keys).agg(
-        F.percentile_approx("_v", grid, ACCURACY).alias("_grid"))
-    staged = targets.join(points, keys)
+    # In the first round every target of a group has the same open bracket.
+    source, level = (rows, by) if whole else (_inside(rows, targets, by), keys)
+    points = source.groupBy(*level).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_grid"))
+    staged = targets.join(points, level)
     step = F.floor((F.col("_k") + 1 - F.col("_below")) * GRID / F.col("_inside")).cast("int")
     staged = staged.withColumns({
         "_new_lo": F.element_at("_grid", F.greatest(step - 1, F.lit(0)) + 1),
@@ -76,6 +79,22 @@ def _narrow(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     return small_table(checked.select(*keys, "n", "_k", "_f", *picked))
 
 
+def _rank_whole(rows: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    """All probabilities from one count by value per group, for groups that are not large."""
+    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.select(*by, "_v", F.sum("_c").over(group).alias("n"), F.sum("_c").over(running).alias("_cum"))
+    cells = []
+    for p in probs:
+        position = F.lit(float(p)) * (F.col("n") - 1)
+        k = F.floor(position)
+        low = F.min(F.when(F.col("_cum") >= k + 1, F.col("_v")))
+        high = F.coalesce(F.min(F.when(F.col("_cum") >= k + 2, F.col("_v"))), low)
+        cells.append(F.struct(F.lit(float(p)).alias("prob"), (low + (high - low) * (position - k)).alias("quantile")))
+    return ranked.groupBy(*by, "n").agg(F.array(*cells).alias("_q")).select(*by, "n", F.inline("_q"))
+
+
 def _rank(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
     """Counts by value inside the brackets, then the two values around each rank."""
     keys = [*by, "prob", "n", "_k", "_f", "_below"]
