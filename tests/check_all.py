@@ -8,14 +8,19 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from oracle import compare  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 from tidegate import catalog  # noqa: E402
 from tidegate.session import build_session  # noqa: E402
 
 
 def main(names):
-    spark = build_session("check", master="local[8]", spark_sql_shuffle_partitions="8",
-                          spark_ui_enabled="false", spark_driver_memory="8g")
+    if os.environ.get("PLAIN"):
+        # A session without any of this library's settings.
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = build_session("check", master="local[8]", spark_sql_shuffle_partitions="8",
+                              spark_ui_enabled="false", spark_driver_memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
     sf = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")

@@ -84,7 +84,8 @@ def _rank_whole(rows: DataFrame, by: list[str], probs: Sequence[float]) -> DataF
     counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     group = Window.partitionBy(*by)
     running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.select(*by, "_v", F.sum("_c").over(group).alias("n"), F.sum("_c").over(running).alias("_cum"))
+    # The running sum comes first: its sort order also serves the group total.
+    ranked = counted.withColumn("_cum", F.sum("_c").over(running)).withColumn("n", F.sum("_c").over(group))
     cells = []
     for p in probs:
         position = F.lit(float(p)) * (F.col("n") - 1)
