@@ -6,7 +6,7 @@ import importlib
 
 from tidegate.catalog.registry import ORACLE_SQL, QUERIES
 
-MODULES = ["decisions", "tables", "eventlog", "models", "streams"]
+MODULES = ["decisions", "tables", "eventlog", "models", "streams", "io"]
 
 
 def load() -> dict:
