@@ -15,6 +15,8 @@ from tidegate.functions.numbers import ratio
 from tidegate.schemas import DECISION_BATCH, DECISION_LIVE
 
 NULL_KEY_SALTS = 64
+# Columns of a parsed record that only the feature expressions read.
+PARSED_COLUMNS = ("flow", "tcp", "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "start", "end")
 
 
 def event_type_filter(events: DataFrame, event_type: str) -> DataFrame:
@@ -62,13 +64,10 @@ def flow_totals(flows: DataFrame) -> DataFrame:
         (FL.counter("bytes_toserver") + FL.counter("bytes_toclient")).alias("bytes_total"),
         (FL.counter("pkts_toserver").cast("long") + FL.counter("pkts_toclient").cast("long")).alias("pkts_total"),
         FL.counter("age").alias("age"),
-        *[c for c in flows.columns if c in ("flow", "tcp", "seq") or c in FL_TOP_LEVEL],
+        *[c for c in flows.columns if c == "seq" or c in PARSED_COLUMNS],
     )
 
 
-FL_TOP_LEVEL = ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "start", "end")
-
-
 def flow_to_features(flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The 77 feature columns of parsed flow records, after the `keep` columns."""
     keep = keep or []
@@ -116,10 +115,14 @@ def counter_columns() -> list:
     ]
 
 
+def with_agreement(counters: DataFrame) -> DataFrame:
+    percent = F.round(100 * ratio(F.col("agreement"), F.col("flows"), empty=None), 1)
+    return counters.withColumn("agreement_pct", percent)
+
+
 def run_counters(decisions: DataFrame) -> DataFrame:
     """Flows, flagged per engine, fused, and how often both engines say the same."""
-    percent = F.round(100 * ratio(F.col("agreement"), F.col("flows"), empty=None), 1)
-    return decisions.agg(*counter_columns()).withColumn("agreement_pct", percent)
+    return with_agreement(decisions.agg(*counter_columns()))
 
 
 def batch_records(decisions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidegate.operators import decisions as OD
 from tidegate.sinks.decisions import write_decisions_csv
@@ -19,7 +19,7 @@ def score_flows(flows: DataFrame, scorer: Scorer) -> DataFrame:
     The scorer gets the 77 features plus `record` and returns them with a model_proba column;
     rows it cannot score end with probability 0.
     """
-    carried = [c for c in flows.columns if c not in ("flow", "tcp", *OD.FL_TOP_LEVEL)]
+    carried = [c for c in flows.columns if c not in OD.PARSED_COLUMNS]
     features = OD.flow_to_features(flows.withColumn("record", F.struct(*carried)), ["record"])
     probability = F.coalesce(F.nanvl("model_proba", F.lit(0.0)), F.lit(0.0))
     return scorer(features).select("record.*", probability.alias("model_proba"))
@@ -35,9 +35,10 @@ def decide(events: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFra
 def decision_batch_job(
     spark: SparkSession, log_path: str, scorer: Scorer, out_path: str, threshold: float = 0.5
 ) -> DataFrame:
-    """Reads the log, writes the 12-column table, returns the run counters."""
-    decisions = decide(L.read_log(spark, log_path), scorer, threshold)
+    """Reads the log, writes the 12-column table, returns the run counters of that same pass."""
+    counters = Observation("counters")
+    decisions = decide(L.read_log(spark, log_path), scorer, threshold).observe(counters, *OD.counter_columns())
     write_decisions_csv(decisions, out_path)
-    from tidegate.sources.tables import read_decisions_csv
-
-    return OD.run_counters(OD.from_batch_records(read_decisions_csv(spark, out_path)))
+    values = counters.get
+    schema = ", ".join(f"{name} long" for name in values)
+    return OD.with_agreement(spark.createDataFrame([tuple(values.values())], schema))
