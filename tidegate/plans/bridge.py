@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.operators import decisions as OD
 from tidegate.sinks.decisions import write_decisions_csv
 from tidegate.sources import event_log as L
+from tidegate.sources.tables import read_decisions_csv
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -35,10 +36,10 @@ def decide(events: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFra
 def decision_batch_job(
     spark: SparkSession, log_path: str, scorer: Scorer, out_path: str, threshold: float = 0.5
 ) -> DataFrame:
-    """Reads the log, writes the 12-column table, returns the run counters of that same pass."""
-    counters = Observation("counters")
-    decisions = decide(L.read_log(spark, log_path), scorer, threshold).observe(counters, *OD.counter_columns())
-    write_decisions_csv(decisions, out_path)
-    values = counters.get
-    schema = ", ".join(f"{name} long" for name in values)
-    return OD.with_agreement(spark.createDataFrame([tuple(values.values())], schema))
+    """Reads the log, writes the 12-column table, returns the run counters of the written rows.
+
+    An Observation would save the read, but a session that has one cannot serialise forest models
+    that still hold their training summary.
+    """
+    write_decisions_csv(decide(L.read_log(spark, log_path), scorer, threshold), out_path)
+    return OD.run_counters(OD.from_batch_records(read_decisions_csv(spark, out_path)))
