@@ -35,6 +35,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
 class Words:
     """The words of some texts, A-Z in lower case: starts, ends and hashes of words; bounds of texts in them.
 
@@ -61,12 +67,14 @@ class Words:
         self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends)
         self.text_starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in encoded])]).astype(np.int64)
         self.bounds = np.searchsorted(self.starts, self.text_starts)
-        power, inverse = self._power(len(a) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * power[: len(a)])])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        h ^= (self.ends - self.starts).astype(np.uint64) << np.uint64(56)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.hashes = h ^ (h >> np.uint64(29))
+        power, self._inverse = self._power(len(a) + 1)
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * power[: len(a)])])
+        self.hashes = self.hashed(self.starts, self.ends)
+
+    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of stretches of bytes: a polynomial of the bytes, mixed with the length."""
+        h = (self._sums[ends] - self._sums[starts]) * self._inverse[starts]
+        return mixed(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
     @classmethod
     def _power(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +82,10 @@ class Words:
             cls._powers = (powers(BASE, n), powers(np.uint64(pow(int(BASE), -1, 1 << 64)), n))
         return cls._powers
 
+    def owner(self) -> np.ndarray:
+        """Number of the text of each word."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
     def text(self, i: int) -> str:
         return self.raw[self.starts[i]: self.ends[i]].decode()
 
