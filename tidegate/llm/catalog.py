@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.llm import decontaminate, licenses, packing, quality, sharding, token_files, toxicity
+from tidegate.llm import decontaminate, jaccard_join, licenses, packing, quality, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,3 +185,10 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by similar sets of four-word shingles."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
