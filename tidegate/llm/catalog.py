@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.llm import decontaminate, jaccard_join, licenses, packing, quality, sharding, token_files, toxicity
+from tidegate.llm import (
+    decontaminate, jaccard_join, licenses, packing, quality, sharding, suffix_dedup, token_files, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,3 +193,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by similar sets of four-word shingles."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@query("op4_repeated_strings")
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that stand in an earlier document, cut out of all documents."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
