@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.llm import (
-    decontaminate, jaccard_join, licenses, packing, quality, sharding, suffix_dedup, token_files, toxicity)
+    decontaminate, jaccard_join, licenses, packing, paragraph_dedup, quality, sharding, suffix_dedup, token_files,
+    toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,3 +202,12 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_repeated_paragraphs")
+def op7_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that an earlier document has too, cut out of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraph_dedup.remove_paragraphs(docs).select(
+        "doc_id", "n_paragraphs", "n_removed_paragraphs", "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -90,6 +90,13 @@ class Model:
         return np.stack([np.ones(len(n)), np.log1p(np.maximum(total, 0)), most, total / np.maximum(n, 1),
                          np.log1p(n) / 10], 1)
 
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray]:
+        """Scores of texts, with their words and the words' marginals."""
+        found = Words(texts, NOT_ALNUM)
+        marginals = self.marginals(found)
+        x = self.summaries(found, marginals) @ self.curve
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30))), found, marginals
+
 
 def ratio_scan(e: np.ndarray, reset: np.ndarray, a: float, b: float, c: float, d: float, s: float) -> np.ndarray:
     """y[t] = e[t] (a + b y[t-1]) / (c + d y[t-1]), and e[t] s where `reset`; the odds of a two-label chain.
@@ -280,10 +287,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                found = Words(texts[a:b], NOT_ALNUM)
-                marginals = model.marginals(found)
-                x = model.summaries(found, marginals) @ model.curve
-                score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+                score, found, marginals = model.scores(texts[a:b])
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 for i in np.flatnonzero(marginals >= 0.5).tolist():
                     k = int(np.searchsorted(found.bounds, i, "right")) - 1
@@ -298,3 +302,18 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return rows.mapInArrow(run, RESULT)
+
+
+def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below the threshold, whole and with all their columns, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+            keep = np.ones(len(texts), bool)
+            for a, b in slices(texts):
+                keep[a:b] = model.scores(texts[a:b])[0] < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
