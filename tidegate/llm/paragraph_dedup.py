@@ -20,7 +20,7 @@ from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
 WIDTH = 5
-LONG = 40
+LONG = 20
 STOP, LINE_END = np.isin(BYTES, list(b".!?")), np.isin(BYTES, [10])
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
