@@ -64,8 +64,7 @@ class Encoder:
     def _each(self, new: list[str]) -> list[list[int]]:
         if not self.plain:
             return self._whole(new)
-        simple = [w.isascii() and w.isalpha() or w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)
-                  for w in new]
+        simple = [w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in new]
         out: list[list[int]] = [[]] * len(new)
         for chosen, encode in ((True, self.plain), (False, self.tokenizer)):
             at = [i for i, s in enumerate(simple) if s is chosen]
