@@ -90,7 +90,7 @@ SELECT {SQL_TS.format('to_timestamp_v')} AS bucket, verdict, count(*) AS n FROM
   FROM decisions_v, w) b GROUP BY 1, 2""")
 _BY_VERDICT = ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in VERDICTS)
 _RATE = f"""rates AS (SELECT time_bucket(INTERVAL '5 seconds', ts) AS b, {_BY_VERDICT}, count(*) AS total FROM decisions_v
-  GROUP BY 1 ORDER BY b DESC LIMIT 30)"""
+  GROUP BY 1)"""
 register("flow_rate_5s", on_decisions(lambda d: text_time(DB.flow_rate(d), "bucket")), WITH.rstrip() + f""", {_RATE}
 SELECT {SQL_TS.format('b')} AS bucket, {", ".join(VERDICTS)}, total FROM rates""")
 register("cumulative_attacks", on_decisions(lambda d: text_time(DB.cumulative_attacks(d), "bucket")), WITH.rstrip() + f""", {_RATE}
@@ -112,9 +112,8 @@ register("recent_probabilities", on_decisions(lambda d: text_time(DB.recent_prob
 SELECT {SQL_TS.format('t.ts')} AS ts, model_proba, verdict FROM
   (SELECT * FROM decisions_v ORDER BY ts DESC, flow_id DESC LIMIT 400) t""")
 register("attacker_share", on_decisions(DB.attacker_share), WITH + """
-SELECT src_ip, n, round(100.0 * n / (SELECT count(*) FROM (SELECT 1 FROM decisions_v WHERE fused_decision LIMIT 300)), 1) AS share_pct
-FROM (SELECT src_ip, count(*) AS n FROM (SELECT * FROM decisions_v WHERE fused_decision ORDER BY ts DESC, flow_id DESC LIMIT 300) r
-      GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 10) t""")
+SELECT src_ip, n, round(100.0 * n / (SELECT count(*) FROM decisions_v WHERE fused_decision), 1) AS share_pct
+FROM (SELECT src_ip, count(*) AS n FROM decisions_v WHERE fused_decision GROUP BY src_ip ORDER BY n DESC, src_ip LIMIT 10) t""")
 _TOTALS = f"""SELECT count(*) AS flows, count(*) FILTER (fused_decision) AS attacks, {_BY_VERDICT},
   CAST(sum(bytes_total) AS BIGINT) AS bytes, CAST(sum(pkts_total) AS BIGINT) AS packets,
   CAST(sum(CASE WHEN fused_decision THEN bytes_total ELSE 0 END) AS BIGINT) AS attack_bytes FROM decisions_v"""
@@ -126,7 +125,7 @@ register("agreement_matrix", on_decisions(DB.agreement_matrix), WITH + """
 SELECT CAST(signature_alert AS INTEGER) AS signature_attack, CAST(model_decision AS INTEGER) AS model_attack, count(*) AS n,
   round(100.0 * count(*) / (SELECT count(*) FROM decisions_v), 1) AS share_pct FROM decisions_v GROUP BY 1, 2""")
 _NAMES = " ".join(f"WHEN '{s}' THEN '{a}'" for s, a in RU.ATTACK_NAME_BY_SIGNATURE.items())
-register("attack_type_distribution", on_decisions(lambda d: DB.attack_type_distribution(d, retained=None).withColumn(
+register("attack_type_distribution", on_decisions(lambda d: DB.attack_type_distribution(d).withColumn(
     "ratio_to_max", F.round("ratio_to_max", 6))), WITH + f"""
 SELECT attack_name, n, round(n / CAST(max(n) OVER () AS DOUBLE), 6) AS ratio_to_max FROM (
   SELECT CASE signature {_NAMES} END AS attack_name, count(*) AS n FROM decisions_v WHERE signature_alert GROUP BY 1) t""")

@@ -10,6 +10,7 @@ from tidegate.functions.numbers import finite_or_zero
 from tidegate.operators import decisions as OD
 from tidegate.operators.cleaning import quoted
 from tidegate.schemas import FLOW_FEATURES
+from tidegate.session import scratch_path
 from tidegate.sinks.decisions import bulk_lines
 from tidegate.sources import event_log as L
 
@@ -30,8 +31,7 @@ def joined(spark, sf):
     return OD.join_alerts(OD.flow_totals(flow_rows(spark, sf)), index)
 
 
-register("scan_eve_batch", lambda spark, sf: L.well_formed(S.parsed_events(spark, sf)).groupBy("event_type").agg(
-    F.count(F.lit(1)).alias("n")), WITH + """
+register("scan_eve_batch", lambda spark, sf: _read_log_counts(spark, sf), WITH + """
 SELECT 'flow' AS event_type, count(*) AS n FROM parsed_v UNION ALL
 SELECT 'alert', count(*) FILTER (signature <> '') FROM parsed_v""")
 register("event_type_filter", lambda spark, sf: OD.event_type_filter(S.parsed_events(spark, sf), "alert").select(
@@ -74,10 +74,56 @@ register("alert_index", lambda spark, sf: OD.alert_index(alert_rows(spark, sf)),
          WITH + "SELECT flow_id, signature FROM parsed_v WHERE signature <> ''")
 register("join_alerts", lambda spark, sf: joined(spark, sf).select("flow_id", "signature", "signature_alert"),
          WITH + "SELECT flow_id, signature, signature <> '' AS signature_alert FROM parsed_v")
-register("bulk_ndjson", lambda spark, sf: bulk_lines(
-    OD.live_records(S.decisions(spark, sf)).select("flow_id", "src_ip", "verdict"), "decisions"), """
-WITH """ + S.DECISIONS_SQL + """ SELECT '{"index":{"_index":"decisions"}}' || chr(10) || '{"flow_id":"' || flow_id || '","src_ip":"' || src_ip
-  || '","verdict":"' || verdict || '"}' AS value FROM decisions_v""")
+
+
+def _bulk_lines(spark, sf):
+    """All columns of the two-line records, read back from their text."""
+    lines = F.split("value", "\n")
+    both = bulk_lines(OD.live_records(S.decisions(spark, sf)), "decisions").select(
+        F.get_json_object(lines[0], "$.index._index").alias("target"), lines[1].alias("document"))
+    return both.select("target", *[F.get_json_object("document", f"$.{c}").alias(c) for c in (
+        "flow_id", "src_ip", "dst_ip", "proto", "suricata_signature", "fusion_reason", "verdict")], *[
+        F.get_json_object("document", f"$.{c}").cast(kind).alias(c) for c, kind in (
+            ("dst_port", "long"), ("bytes_total", "double"), ("pkts_total", "double"), ("duration_ms", "double"),
+            ("ml_proba", "double"), ("suricata_alert", "boolean"), ("ml_decision", "boolean"), ("fused_decision", "boolean"))],
+        F.get_json_object("document", "$['@timestamp']").alias("stamp"))
+
+
+register("bulk_ndjson", _bulk_lines, "WITH " + S.DECISIONS_SQL + """
+SELECT 'decisions' AS target, CAST(flow_id AS VARCHAR) AS flow_id, src_ip, dst_ip, proto, signature AS suricata_signature, fusion_reason,
+  verdict, CAST(dst_port AS BIGINT) AS dst_port, CAST(bytes_total AS DOUBLE) AS bytes_total, CAST(pkts_total AS DOUBLE) AS pkts_total,
+  CAST(floor(duration_us / 1e6) AS DOUBLE) AS duration_ms, round(model_proba, 6) AS ml_proba, signature_alert AS suricata_alert,
+  model_decision AS ml_decision, fused_decision, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS stamp FROM decisions_v""")
+
+
+def _landed_alerts(spark, sf):
+    """Three alerts a flow in four log files: written late ones have earlier, equal or unreadable times."""
+    events = S.table(spark, sf, "events").select("event_id")
+    number = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    rows = events.withColumn("k", number).withColumn("file", F.pmod(F.col("event_id"), F.lit(2)) * 2 + F.when(
+        F.col("k") == 2, 1).otherwise(0))
+    time = F.when((F.col("k") == 2) & (F.col("event_id") % 3 == 0), F.lit("no time")).when(
+        F.col("event_id") % 3 == 1, F.lit("2024-01-01T00:00:05Z")).otherwise(
+        F.concat(F.lit("2024-01-01T00:00:0"), F.lit(9) - F.col("k"), F.lit("Z")))
+    line = F.to_json(F.struct(
+        F.lit("alert").alias("event_type"), time.alias("timestamp"), F.col("event_id").cast("string").alias("flow_id"),
+        F.struct(F.concat(F.lit("S"), F.col("k")).alias("signature")).alias("alert")))
+    path = scratch_path(spark, "alerts")
+    ordered = rows.repartition(8, "event_id").sortWithinPartitions("file", "event_id", "k")
+    ordered.select(F.format_string("log-%d", "file").alias("name"), line.alias("value")).write.partitionBy("name").text(path)
+    return OD.alert_index(L.alert_events(L.read_log(spark, path)))
+
+
+register("alert_log_order", _landed_alerts, "SELECT CAST(event_id AS VARCHAR) AS flow_id, 'S2' AS signature FROM events")
+
+
+def _read_log_counts(spark, sf):
+    """The log as landed text files, read with the batch scan."""
+    path = scratch_path(spark, "log")
+    S.log_lines(spark, sf).select("value").write.text(path)
+    return L.well_formed(L.read_log(spark, path)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 
 
 def _proxy_probability(features):

@@ -12,6 +12,7 @@ from tidegate.operators import metrics as M
 from tidegate.operators import sampling as SA
 from tidegate.operators.decisions import threshold_decision
 from tidegate.plans.prepare import clean_flows
+from tidegate.sources.tables import read_prepared
 
 SEED = 42
 PW = "WITH " + S.PREPARED_SQL + " "
@@ -29,9 +30,9 @@ def rounded(df, places, *columns):
 
 
 # ---- cleaning -------------------------------------------------------------------
-register("scan_prepared", lambda spark, sf: S.table(spark, sf, "lineitem").select(
-    "l_orderkey", "l_quantity", "l_extendedprice").filter("l_discount > 0.05"),
-    "SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem WHERE l_discount > 0.05")
+register("scan_prepared", lambda spark, sf: read_prepared(spark, f"{sf}/lineitem.parquet").select(
+    "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"),
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
 register("drop_identifiers", on(S.dirty, lambda d: C.drop_identifiers(d).withColumns(
     {"qty": F.col("qty").cast("double"), "rate": F.col("rate").isNull(), "Label": F.trim("Label")})),
     DW + 'SELECT qty, kind IS NULL AS rate, disc, tax, "Label" FROM dirty_v')
@@ -97,6 +98,36 @@ UNION ALL SELECT cat, 'val', CAST(r - tr AS BIGINT) FROM b2 UNION ALL SELECT cat
 register("class_cap", lambda spark, sf: C.category_distribution(SA.class_cap(
     C.normalise_labels(S.flows(spark, sf)), 5000, SEED, by="Category")),
     PW + 'SELECT "Category", least(count(*), 5000) AS n FROM prepared_v GROUP BY 1')
+
+
+def _null_strata(spark, sf):
+    """Sample, cap and split of rows of which a part has no category: per category, how many, and how many foreign."""
+    rows = S.table(spark, sf, "orders").select(
+        "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("category"))
+    parts = {
+        "sample": SA.stratified_sample(rows, 0.25, SEED, "category", key=["o_orderkey"]),
+        "cap": SA.class_cap(rows, 100, SEED, key=["o_orderkey"]),
+        "copies": SA.class_cap(rows.select("category", F.lit(1).alias("same")), 100, SEED),
+        "folds": SA.stratified_folds(rows, 4, SEED, "category", key=["o_orderkey"]).filter("fold = 0").drop("fold"),
+    }
+    out = None
+    for name, part in parts.items():
+        if "o_orderkey" in part.columns:
+            own = part.groupBy("category").agg(
+                F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_distinct"))
+        else:
+            own = part.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+        own = own.withColumn("part", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+register("null_strata", _null_strata, """
+WITH c AS (SELECT nullif(o_orderpriority, '5-LOW') AS category, count(*) AS n FROM orders GROUP BY 1),
+p AS (SELECT category, 'sample' AS part, CAST(round_even(n * 0.25, 0) AS BIGINT) AS n FROM c
+  UNION ALL SELECT category, 'cap', least(n, 100) FROM c UNION ALL SELECT category, 'copies', least(n, 100) FROM c
+  UNION ALL SELECT category, 'folds', CAST(n // 4 AS BIGINT) FROM c)
+SELECT category, part, n, n AS n_distinct FROM p""")
 register("subsample_rows", lambda spark, sf: SA.subsample_rows(S.flows(spark, sf), 20_000, SEED).agg(
     F.count(F.lit(1)).alias("n")), "SELECT least(count(*), 20000) AS n FROM lineitem")
 register("stratified_folds", lambda spark, sf: SA.stratified_folds(S.scored(spark, sf), 3, SEED, key=["row_id"]).groupBy(

@@ -8,8 +8,7 @@ from tidegate.functions import decision as D
 from tidegate.functions.numbers import ratio
 from tidegate.operators.rules import ATTACK_NAME_BY_SIGNATURE
 
-RETAINED_ALERTS = 300
-RETAINED_BUCKETS = 30
+RETAINED_ALERTS = 300  # length of the alert list that a browser shows
 # Candidate bucket widths in seconds for automatic histograms.
 BUCKET_LADDER = [1, 5, 10, 30, 60, 300, 600, 1800, 3600, 10800, 43200, 86400, 604800, 2592000]
 TARGET_BUCKETS = 100
@@ -73,16 +72,27 @@ def rate_buckets(decisions: DataFrame, seconds: int = 5) -> DataFrame:
     return grouped.select(F.col("window.start").alias("bucket"), *D.VERDICTS, "total")
 
 
-def flow_rate(decisions: DataFrame, seconds: int = 5, last: int = RETAINED_BUCKETS) -> DataFrame:
-    return rate_buckets(decisions, seconds).orderBy(F.desc("bucket")).limit(last)
+def flow_rate(decisions: DataFrame, seconds: int = 5, last: int | None = None) -> DataFrame:
+    """Rates of all buckets; with `last`, of so many newest ones, as a panel shows them."""
+    rates = rate_buckets(decisions, seconds)
+    return rates if last is None else rates.orderBy(F.desc("bucket")).limit(last)
 
 
-def cumulative_attacks(decisions: DataFrame, seconds: int = 5, last: int = RETAINED_BUCKETS) -> DataFrame:
-    """Running attack count over the retained buckets (at most `last` rows in the window)."""
+def cumulative_attacks(decisions: DataFrame, seconds: int = 5, last: int | None = None) -> DataFrame:
+    """Attacks up to the end of each bucket; the count starts with the first flow, also where only `last` are shown.
+
+    Buckets are summed day by day; only the totals of days meet in one task.
+    """
     attacks = F.col("total") - F.col(D.VERDICT_BENIGN)
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rates = flow_rate(decisions, seconds, last).select("bucket", attacks.alias("attacks"))
-    return rates.withColumn("cumulative", F.sum("attacks").over(running))
+    rates = rate_buckets(decisions, seconds).select(
+        "bucket", attacks.alias("attacks"), F.date_trunc("day", "bucket").alias("_day"))
+    in_day = Window.partitionBy("_day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = rates.groupBy("_day").agg(F.sum("attacks").alias("_n"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days.select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    running = rates.withColumn("_running", F.sum("attacks").over(in_day)).join(offsets, "_day").select(
+        "bucket", "attacks", (F.col("_before") + F.col("_running")).alias("cumulative"))
+    return running if last is None else running.orderBy(F.desc("bucket")).limit(last)
 
 
 def newest(decisions: DataFrame, k: int) -> DataFrame:
@@ -106,11 +116,12 @@ def recent_probabilities(decisions: DataFrame, k: int = 400) -> DataFrame:
     return newest(decisions, k).select("ts", "model_proba", "verdict")
 
 
-def attacker_share(decisions: DataFrame, k: int = 10, retained: int = RETAINED_ALERTS) -> DataFrame:
-    """Busiest sources among the retained alerts, with their share of those alerts."""
-    counts = newest(decisions.filter("fused_decision"), retained).groupBy("src_ip").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def attacker_share(decisions: DataFrame, k: int = 10, retained: int | None = None) -> DataFrame:
+    """Busiest sources among all alerts, or the newest `retained` ones, with their share of these."""
+    alerts = decisions.filter("fused_decision")
+    if retained is not None:
+        alerts = newest(alerts, retained)
+    counts = alerts.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     shared = counts.withColumn("share_pct", F.round(100 * F.col("n") / total, 1))
     return shared.orderBy(F.desc("n"), "src_ip").limit(k)
@@ -167,8 +178,8 @@ def agreement_matrix(decisions: DataFrame) -> DataFrame:
     return flat.select("signature_attack", "model_attack", "n", share.alias("share_pct"))
 
 
-def attack_type_distribution(decisions: DataFrame, retained: int | None = RETAINED_ALERTS) -> DataFrame:
-    """Alerts per attack name of the rule table, with the ratio to the most frequent one."""
+def attack_type_distribution(decisions: DataFrame, retained: int | None = None) -> DataFrame:
+    """Alerts (all, or the newest `retained`) per attack name of the rule table, with the ratio to the most frequent."""
     alerts = decisions.filter("fused_decision")
     if retained is not None:
         alerts = newest(alerts, retained)

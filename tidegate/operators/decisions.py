@@ -26,9 +26,10 @@ def event_type_filter(events: DataFrame, event_type: str) -> DataFrame:
 def alert_index(alerts: DataFrame) -> DataFrame:
     """One signature per flow: the last alert in log order; alerts without a flow are ignored.
 
-    Expects flow_id, signature and the order columns ts and seq.
+    Expects flow_id, signature and `seq`, the position in the log. Times do not count: a later line wins even if its
+    time is earlier or cannot be read.
     """
-    newest = F.max_by(F.coalesce("signature", F.lit("")), F.struct("ts", "seq"))
+    newest = F.max_by(F.coalesce("signature", F.lit("")), F.struct("seq"))
     return alerts.filter(F.col("flow_id").isNotNull()).groupBy("flow_id").agg(newest.alias("signature"))
 
 

@@ -43,8 +43,8 @@ def class_distribution(df: DataFrame) -> DataFrame:
     return category_distribution(df).withColumn("pct", share)
 
 
-def missing_audit(df: DataFrame, top: int = 20, complete_columns: int = 30) -> DataFrame:
-    """Columns with most missing values; when none has any, the first columns with full counts."""
+def missing_audit(df: DataFrame) -> DataFrame:
+    """Missing and present values of every column, most missing first."""
     columns = feature_names(df)
     kinds = dict(df.dtypes)
 
@@ -55,12 +55,8 @@ def missing_audit(df: DataFrame, top: int = 20, complete_columns: int = 30) -> D
              for i, c in enumerate(columns)]
     row = df.agg(F.array(*cells).alias("cells"), F.count(F.lit(1)).alias("rows"))
     table = row.select(F.inline("cells"), "rows")
-    any_missing = F.sum("missing").over(Window.partitionBy()) > 0
-    place = F.row_number().over(Window.orderBy(F.desc("missing"), "position"))
-    ranked = table.withColumn("_any", any_missing).withColumn("_place", place)
-    limit = F.when(F.col("_any"), F.lit(top)).otherwise(F.lit(complete_columns))
-    kept = ranked.filter(F.col("_place") <= limit)
-    return kept.select("feature", "missing", (F.col("rows") - F.col("missing")).alias("present"))
+    ordered = table.orderBy(F.desc("missing"), "position")
+    return ordered.select("feature", "missing", (F.col("rows") - F.col("missing")).alias("present"))
 
 
 def top_variance_features(df: DataFrame, k: int = 30) -> list[str]:

@@ -12,6 +12,7 @@ from tidegate.functions.numbers import bin_by_edges, ratio, unit_interval_edges
 from tidegate.schemas import BENIGN
 
 SCORE_BUCKETS = 256
+# Columns of the published metrics table (fixed order).
 METRIC_COLUMNS = ["macro_f1", "mcc", "accuracy", "precision", "recall", "false_positive_rate",
                   "false_negative_rate", "roc_auc", "ece", "tp", "fp", "tn", "fn"]
 RATES = {
@@ -45,13 +46,18 @@ def binary_metrics(predictions: DataFrame, by: Sequence[str] = ("model",)) -> Da
     return rates.join(auc, by, "left") if by else rates.withColumn("roc_auc", auc.select("roc_auc").scalar())
 
 
+def scored(predictions: DataFrame) -> DataFrame:
+    """A probability that is missing or not a number counts as 0, as for a flow whose scoring failed."""
+    return predictions.withColumn("p", F.coalesce(F.nanvl(F.col("p").cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
 def _score_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
     """Positives and negatives per distinct score, with a bucket that keeps the score order.
 
     Bucket limits are approximate quantiles of the distinct scores, so no bucket can hold more
     than a small share of them; running sums are taken per bucket and joined by bucket totals.
     """
-    scores = predictions.groupBy(*by, "p").agg(
+    scores = scored(predictions).groupBy(*by, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     probs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
     inner = sorted(set(scores.approxQuantile("p", probs, 1.0 / (4 * SCORE_BUCKETS))))
@@ -102,7 +108,7 @@ def pr_curve(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFram
 
 def _bins(predictions: DataFrame, by: list[str], n_bins: int) -> DataFrame:
     bin_no = bin_by_edges(F.col("p"), unit_interval_edges(n_bins))
-    return predictions.groupBy(*by, bin_no.alias("bin")).agg(
+    return scored(predictions).groupBy(*by, bin_no.alias("bin")).agg(
         F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
 
 

@@ -21,9 +21,9 @@ def detection_counts(decisions: DataFrame) -> DataFrame:
 
 
 def top_flagged(decisions: DataFrame, k: int = 10) -> DataFrame:
-    """Flows with the highest probability; among equals the earlier flow comes first."""
+    """Flows with the highest probability; among equals the earlier in the log, or by time where that is not known."""
     wanted = ["ts", "src_ip", "dst_ip", "dst_port", "model_proba", "signature_alert", "fusion_reason"]
-    tie_break = [c for c in ("ts", "seq", "flow_id") if c in decisions.columns]
+    tie_break = [c for c in ("seq", "ts", "flow_id") if c in decisions.columns]
     ordered = decisions.orderBy(F.desc("model_proba"), *tie_break).limit(k)
     return ordered.select([c for c in wanted if c in decisions.columns])
 

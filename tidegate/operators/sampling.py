@@ -38,7 +38,7 @@ def assign_parts(
     identity = [quoted(c) for c in (key or cols)]
     hashed = base.withColumn("_h", row_hash(seed, identity)).withColumn("_b", hash_bucket(F.col("_h")))
     cuts = small_table(_cut_table(hashed, stratum, limits, parts))
-    placed = hashed.join(cuts, stratum)
+    placed = _join_strata(hashed, cuts, stratum)
 
     names = [f"_cut{j}" for j in range(1, parts)]
     in_cut = F.lit(False)
@@ -62,12 +62,25 @@ def assign_parts(
     return sure.select(output).unionByName(cut_rows.select(output))
 
 
+def _join_strata(left: DataFrame, right: DataFrame, stratum: list[str]) -> DataFrame:
+    """Inner join on the strata, where rows without a value are a stratum of their own."""
+    renamed = right.withColumnsRenamed({c: f"_of_{c}" for c in stratum})
+    same = F.lit(True)
+    for c in stratum:
+        same &= left[quoted_name(c)].eqNullSafe(renamed[quoted_name(f"_of_{c}")])
+    return left.join(renamed, same).drop(*[f"_of_{c}" for c in stratum])
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _cut_table(hashed: DataFrame, stratum: list[str], limits, parts: int) -> DataFrame:
     counts = hashed.groupBy(*stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
     running = F.sum("_n").over(Window.partitionBy(*stratum).orderBy("_b"))
     buckets = counts.withColumn("_cum", running)
     totals = limits(counts.groupBy(*stratum).agg(F.sum("_n").alias("n"))).drop("n")
-    joined = buckets.join(totals, stratum)
+    joined = _join_strata(buckets, totals, stratum)
     cuts = []
     for j in range(1, parts):
         first = F.min(F.when(F.col("_cum") >= F.col(f"_k{j}"),

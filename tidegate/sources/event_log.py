@@ -27,11 +27,15 @@ def malformed(events: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Batch scan. `seq` is the position in the log: file, then line order within the file.
+    """Batch scan. `seq` is the position in the log: file by name, split of the file, line of the split.
 
-    monotonically_increasing_id follows file splits, which are fixed for a given set of files.
+    Numbers of rows rise within a task, which reads the lines of a split in order; they say nothing about the order
+    of files or splits, so these come first.
     """
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    seq = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", seq.alias("seq"))
     return parse_lines(lines, keep=["seq"])
 
 
@@ -40,13 +44,12 @@ def flow_events(events: DataFrame) -> DataFrame:
 
 
 def alert_events(events: DataFrame) -> DataFrame:
-    """Alerts reduced to flow_id, signature and their order columns."""
+    """Alerts reduced to flow_id, signature, time and position (the time again where positions are not known)."""
     alerts = well_formed(events).filter(F.col("event_type") == "alert")
-    order = [F.col("seq")] if "seq" in events.columns else [F.lit(0).cast("long").alias("seq")]
+    time = F.try_to_timestamp("timestamp")
+    order = F.col("seq") if "seq" in events.columns else time
     return alerts.select(
-        "flow_id", F.coalesce("alert.signature", F.lit("")).alias("signature"),
-        F.try_to_timestamp("timestamp").alias("ts"), *order,
-    )
+        "flow_id", F.coalesce("alert.signature", F.lit("")).alias("signature"), time.alias("ts"), order.alias("seq"))
 
 
 def prefilter_kinds(lines: DataFrame) -> DataFrame:
