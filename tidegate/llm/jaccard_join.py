@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegate.llm.similarity import (
-    Threshold, bitmap, linked_components, set_hashes, shared_tokens, shingle_sets, summed)
+    Sets, Threshold, bitmap, linked_components, set_hashes, shared_tokens, shingle_sets, summed)
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import WHITE, Words, mixed, slices
 
@@ -18,8 +18,8 @@ JACCARD = Threshold(85, 100)
 #: A shingle is frequent from this share of the documents on; the list has at most about
 #: 2 * (mean shingles of a document) / FREQUENT entries, whatever the number of documents.
 FREQUENT = 0.004
-BLOCK_CHARS = 4_000_000
-SIGNATURE = "doc_id long, n long, h1 long, h2 long, hp long, prefix binary"
+BLOCK_CHARS = 3_000_000
+SIGNATURE = "doc_id long, n long, h1 long, h2 long, hp long, bits binary, prefix binary"
 
 
 def _sets(texts: list[str], width: int, rank=None):
@@ -86,8 +86,9 @@ def signatures(rows: DataFrame, frequent: np.ndarray, width: int, threshold: Thr
                 hp = mixed(summed(mixed(flat), ends)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(n), pa.array(h1), pa.array(h2), pa.array(hp),
+                    pa.array([bitmap(values[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
                     pa.array([p.astype("<i8").tobytes() for p in prefixes], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "hp", "prefix"])
+                    ["doc_id", "n", "h1", "h2", "hp", "bits", "prefix"])
 
     return rows.mapInArrow(run, SIGNATURE)
 
@@ -106,18 +107,20 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a document meet here
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            nodes, texts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for a, b in slices(texts):
                 values, offsets = _sets(texts[a:b], width)
                 h1, h2 = set_hashes(values, offsets)
-                same = np.flatnonzero((h1 == batch.column(1).slice(a, b - a).to_numpy())
-                                      & (h2 == batch.column(2).slice(a, b - a).to_numpy()))
-                sets = [values[offsets[i]: offsets[i + 1]] for i in same]
+                same = (h1 == batch.column(1).slice(a, b - a).to_numpy()) & (h2 == batch.column(2).slice(a, b - a).to_numpy())
+                new = [i for i in np.flatnonzero(same).tolist() if nodes[a + i] not in seen]
+                new = list({nodes[a + i]: i for i in new}.values())
+                seen.update(nodes[a + i] for i in new)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).take(pa.array(same)),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "bits", "shingles"])
+                    pa.array([nodes[a + i] for i in new], pa.int64()),
+                    pa.array([values[offsets[i]: offsets[i + 1]].tobytes() for i in new], pa.binary())],
+                    ["node", "shingles"])
     return run
 
 
@@ -150,12 +153,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: Threshold
     shared = Stage(shared_tokens(postings).distinct(), "shared").read()
     several = Stage(classes.join(groups.filter("size > 1").select("n", "hp", "gid"), ["n", "hp"]).select("node", "gid"),
                     "several").read()
-    needed = shared.select(F.col("gid").alias("node")).unionByName(several.select("node")).distinct()
-    wanted = needed.join(classes, "node").select("node", "h1", "h2")
-    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "h1", "h2", "body")
-    sets = Stage(texts.mapInArrow(_whole_sets(width), "node long, n long, bits binary, shingles binary")
-                 .dropDuplicates(["node"]), "sets").read()
-    found = linked_components(several, shared, sets, threshold, positions=True)
+    outlines = signed.select(F.col("doc_id").alias("node"), "n", "h1", "h2", "bits").join(
+        classes.select("node", "h1", "h2"), ["node", "h1", "h2"])
+    outlines = Stage(outlines.groupBy("node", "n").agg(F.min("bits").alias("bits")), "outlines").read()
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, "node").select("node", "h1", "h2")
+        texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "h1", "h2", "body")
+        return texts.mapInArrow(_whole_sets(width), "node long, shingles binary")
+
+    found = linked_components(several, shared, Sets(outlines, fetch), threshold, positions=True)
     named_classes = classes.select("n", "h1", "h2", F.col("node").alias("class_id"))
     return (
         signed.select("doc_id", "n", "h1", "h2").join(named_classes, ["n", "h1", "h2"], "left")

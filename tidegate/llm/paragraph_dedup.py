@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegate.llm.similarity import Threshold, bitmap, linked_components, set_hashes, shingle_sets
+from tidegate.llm.similarity import Sets, Threshold, bitmap, linked_components, set_hashes, shingle_sets
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
@@ -92,16 +92,18 @@ class Paragraphs:
         return out
 
 
-def _posted(width: int, bands: int, rows: int):
+def _posted(width: int, bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 found = Paragraphs(texts[a:b], width)
                 node, _ = set_hashes(found.values, found.offsets)
-                node, once = np.unique(node, return_index=True)
-                keys = found.bands(bands, rows)[:, once]
-                n = np.diff(found.offsets)[once]
+                n = np.diff(found.offsets)
+                large = np.flatnonzero(n >= least)  # smaller sets are similar to equal ones only
+                node, once = np.unique(node[large], return_index=True)
+                keys = found.bands(bands, rows)[:, large[once]]
+                n = n[large[once]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(node, bands)),
                     pa.array(np.tile(n, bands).astype(np.int32))], ["token", "gid", "n"])
@@ -204,7 +206,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
     bands, per_band = tuned_bands(threshold.part / threshold.whole, recall, max_bands)
-    posted = rows.mapInArrow(_posted(width, bands, per_band), "token long, gid long, n int")
+    posted = rows.mapInArrow(_posted(width, bands, per_band, threshold.least_size()), "token long, gid long, n int")
     shared = Stage(posted.repartition(tasks, "token").mapInArrow(_common, "token long, gid long, n int"), "shared").read()
     listed = Stage(rows.mapInArrow(_listed(width), "doc long, index int, node long"), "paragraphs").read()
     needed = shared.select(F.col("gid").alias("node")).distinct()
@@ -213,7 +215,8 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     sets = Stage(rows.join(wanted, "doc").select("body", "wanted").mapInArrow(
         _sets(width), "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]), "sets").read()
     none = shared.filter("false").select(F.col("gid").alias("node"), "gid")
-    found = linked_components(none, shared, sets, threshold, positions=False)
+    known = Sets(sets.select("node", "n", "bits"), lambda nodes: sets.join(nodes, "node"))
+    found = linked_components(none, shared, known, threshold, positions=False)
     labelled = listed.join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")

@@ -8,7 +8,7 @@ in different components are looked at again. The last round looks at all of thes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,14 @@ class Threshold:
         return np.where(n > 0, n + (-self.part * n) // self.whole + 1, 0)
 
     def sizes_allow(self, m: Column, n: Column) -> Column:
-        return F.least(m, n) * self.whole >= F.greatest(m, n) * self.part
+        """Whether different sets of these sizes can be similar: at best the smaller lies in the larger one; of equal
+        sizes, all members but one are common."""
+        common = F.when(m == n, n - 1).otherwise(F.least(m, n))
+        return common * self.whole >= (m + n - common) * self.part
+
+    def least_size(self) -> int:
+        """Smallest set that can be similar to a different one."""
+        return -(-self.part // (self.whole - self.part))
 
     def met(self, common: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.whole * common >= self.part * (m + n - common)
@@ -87,7 +94,7 @@ def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def bitmap(values: np.ndarray) -> bytes:
     """Parities of the numbers of members by hash; two bitmaps differ in no more bits than the sets in members."""
     bits = 512
-    while bits < min(len(values), 1 << 15) * 1:
+    while bits < min(len(values), 1 << 15):
         bits *= 2
     return np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(
         np.uint8).tobytes()
@@ -126,20 +133,32 @@ def _similar(threshold: Threshold):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. `sets`: node, n, bits, shingles (sorted, 8 bytes each)."""
-    small = sets.select("node", "n", "bits")
-    left = small.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
-    right = small.select(F.col("node").alias("b"), "n", F.col("bits").alias("y"))
+@dataclass(frozen=True)
+class Sets:
+    """What is known of the nodes' sets: node, n, bits (see `bitmap`) of all; the sets themselves of chosen nodes.
+
+    `fetch` takes a frame of nodes and returns node, shingles (sorted, 8 bytes each); a row may come out twice.
+    """
+
+    outlines: DataFrame
+    fetch: Callable[[DataFrame], DataFrame]
+
+
+def verified(pairs: DataFrame, sets: Sets, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets are fetched only for pairs that sizes and bitmaps leave open."""
+    left, right = (sets.outlines.select(F.col("node").alias(x), F.col("n").alias(y), F.col("bits").alias(z))
+                   for x, y, z in (("a", "m", "x"), ("b", "n", "y")))
     first = pairs.join(left, "a").join(right, "b").filter(threshold.sizes_allow(F.col("m"), F.col("n")))
     likely = Stage(first.select("a", "b", "m", "n", "x", "y").mapInArrow(
         _may_be_similar(threshold), "a long, b long"), "likely")
-    whole = sets.select("node", "shingles")
+    nodes = likely.read().select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = Stage(sets.fetch(nodes).select("node", "shingles"), "sets")
     both = (likely.read()
-            .join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+            .join(whole.read().select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(whole.read().select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
     out = Stage(both.select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a long, b long"), "links")
     likely.drop()
+    whole.drop()
     return out.read()
 
 
@@ -149,7 +168,7 @@ def shared_tokens(postings: DataFrame) -> DataFrame:
     return postings.join(common.select("token"), "token")
 
 
-def linked_components(groups: DataFrame, shared: DataFrame, sets: DataFrame, threshold: Threshold,
+def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshold: Threshold,
                       positions: bool) -> DataFrame:
     """(node, component) of all nodes that are similar to another one.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 BYTES = np.arange(256)
