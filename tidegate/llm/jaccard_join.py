@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidegate.llm.similarity import (
@@ -15,10 +17,9 @@ from tidegate.llm.words import WHITE, Words, mixed, slices
 
 WIDTH = 4
 JACCARD = Threshold(85, 100)
-#: A shingle is frequent from this share of the documents on; the list has at most about
-#: 2 * (mean shingles of a document) / FREQUENT entries, whatever the number of documents.
-FREQUENT = 0.004
-BLOCK_CHARS = 3_000_000
+#: Counters of the common order: shingles share them by hash, 4 bytes each, whatever the number of documents.
+SLOTS = 1 << 20
+FAN_IN = 16
 SIGNATURE = "doc_id long, n long, h1 long, h2 long, hp long, bits binary, prefix binary"
 
 
@@ -28,51 +29,45 @@ def _sets(texts: list[str], width: int, rank=None):
     return values, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def frequent_shingles(rows: DataFrame, width: int, share: float) -> np.ndarray:
-    """Frequent shingles, sorted by hash, with ranks by count: blocks report theirs, sums decide.
+def counted_shingles(rows: DataFrame, width: int, slots: int) -> np.ndarray:
+    """Number of documents for each slot of shingle hashes.
 
-    They only set the order of tokens. Any common order gives the same links; this one keeps what many documents
-    share out of their prefixes.
+    The counts only set the order of tokens: shingles of rare slots first. Any common order gives the same links; this
+    one keeps what many documents share out of their prefixes. Each task counts its documents; counters are added up
+    FAN_IN at a time.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, BLOCK_CHARS):
+            for a, b in slices(texts):
                 values, _ = _sets(texts[a:b], width)
-                keys, counts = np.unique(values, return_counts=True)
-                often = counts >= max(5, share * (b - a))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(counts[often], b - a)),
-                    pa.array(np.append(np.zeros(int(often.sum()), bool), True))], ["token", "n", "total"])
-
-    counted = rows.mapInArrow(run, "token long, n long, total boolean").groupBy("token", "total").agg(
-        F.sum("n").alias("n"))
-    staged = Stage(counted, "frequent")
-    docs = staged.read().filter("total").agg(F.sum("n")).first()[0] or 0
-    kept = staged.read().filter("not total").filter(F.col("n") >= max(5, share * docs / 2)).select("token", "n").toArrow()
+                counts += np.bincount((values % np.uint64(slots)).astype(np.int64), minlength=slots).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"id": [TaskContext.get().partitionId()], "counts": [counts.tobytes()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, np.uint32) for c in parts["counts"]], axis=0, dtype=np.uint32)
+        return pd.DataFrame({"id": [int(parts["id"].iloc[0]) // FAN_IN], "counts": [total.tobytes()]})
+
+    staged = Stage(rows.mapInArrow(count, "id long, counts binary"), "counts")
+    while staged.read().count() > 1:
+        grouped = staged.read().groupBy(F.floor(F.col("id") / FAN_IN)).applyInPandas(add, "id long, counts binary")
+        following = Stage(grouped, "counts")
+        staged.drop()
+        staged = following
+    found = staged.read().first()
     staged.drop()
-    tokens, n = kept.column("token").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    order = np.argsort(tokens)
-    ranks = np.argsort(np.lexsort((tokens, n))).astype(np.uint64) + np.uint64(1)
-    return np.stack([tokens[order], ranks[order]])
-
-
-def _rank(frequent: np.ndarray):
-    tokens, ranks = frequent
+    return np.frombuffer(found["counts"], np.uint32) if found else np.zeros(slots, np.uint32)
 
-    def rank(values: np.ndarray) -> np.ndarray:
-        if not len(tokens):
-            return np.zeros(len(values), np.uint64)
-        at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
-        return np.where(tokens[at] == values, ranks[at], np.uint64(0))
 
-    return rank
+def _rank(counts: np.ndarray):
+    return lambda values: counts[(values % np.uint64(len(counts))).astype(np.int64)]
 
 
-def signatures(rows: DataFrame, frequent: np.ndarray, width: int, threshold: Threshold) -> DataFrame:
+def signatures(rows: DataFrame, counts: np.ndarray, width: int, threshold: Threshold) -> DataFrame:
     """Per document: set size, hashes of the set, and its prefix in the common order with the prefix's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _rank(frequent)
+        rank = _rank(counts)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -125,7 +120,7 @@ def _whole_sets(width: int):
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: Threshold = JACCARD,
-                       frequent: float = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                       slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by similar sets of `width`-word shingles.
 
     Returns a row per input row: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest
@@ -136,11 +131,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: Threshold
 
     1. Equal sets are one class; classes with equal prefix and size one group (`linked_components` says how groups
        find each other and how members are verified).
-    2. Prefixes are indexed in a common order of shingles with the frequent ones last.
+    2. Prefixes are indexed in a common order of shingles, those that few documents have first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    order = frequent_shingles(rows, width, frequent)
+    order = counted_shingles(rows, width, slots)
     signed = Stage(signatures(rows, order, width, threshold), "signatures").read()
     usable = signed.filter("n > 0 and doc_id is not null")
     classes = Stage(usable.groupBy("n", "h1", "h2", "hp").agg(F.min("doc_id").alias("node")), "classes").read()

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegate.llm.similarity import Sets, Threshold, bitmap, linked_components, set_hashes, shingle_sets
+from tidegate.llm.similarity import Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shingle_sets
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
@@ -104,9 +104,11 @@ def _posted(width: int, bands: int, rows: int, least: int):
                 node, once = np.unique(node[large], return_index=True)
                 keys = found.bands(bands, rows)[:, large[once]]
                 n = n[large[once]]
+                prints = fingerprints(found.values, found.offsets)[large[once]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(node, bands)),
-                    pa.array(np.tile(n, bands).astype(np.int32))], ["token", "gid", "n"])
+                    pa.array(np.tile(n, bands).astype(np.int32)), pa.array(np.tile(prints, bands))],
+                    ["token", "gid", "n", "print"])
     return run
 
 
@@ -115,17 +117,18 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if not held:
         return
-    token, gid, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+    token, gid, n, prints = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
     held.clear()
     order = np.lexsort((gid, token))
-    token, gid, n = token[order], gid[order], n[order]
+    token, gid, n, prints = token[order], gid[order], n[order], prints[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    token, gid, n = token[new], gid[new], n[new]
+    token, gid, n, prints = token[new], gid[new], n[new], prints[new]
     several = np.zeros(len(token), bool)
     several[1:] = token[1:] == token[:-1]
     several[:-1] |= several[1:]
-    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, gid, n)], ["token", "gid", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, gid, n, prints)],
+                                     ["token", "gid", "n", "print"])
 
 
 def _listed(width: int):
@@ -206,8 +209,9 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
     bands, per_band = tuned_bands(threshold.part / threshold.whole, recall, max_bands)
-    posted = rows.mapInArrow(_posted(width, bands, per_band, threshold.least_size()), "token long, gid long, n int")
-    shared = Stage(posted.repartition(tasks, "token").mapInArrow(_common, "token long, gid long, n int"), "shared").read()
+    posting = "token long, gid long, n int, print long"
+    posted = rows.mapInArrow(_posted(width, bands, per_band, threshold.least_size()), posting)
+    shared = Stage(posted.repartition(tasks, "token").mapInArrow(_common, posting), "shared").read()
     listed = Stage(rows.mapInArrow(_listed(width), "doc long, index int, node long"), "paragraphs").read()
     needed = shared.select(F.col("gid").alias("node")).distinct()
     holders = listed.join(needed, "node").groupBy("node").agg(F.min("doc").alias("doc"))

@@ -39,6 +39,10 @@ class Threshold:
         common = F.when(m == n, n - 1).otherwise(F.least(m, n))
         return common * self.whole >= (m + n - common) * self.part
 
+    def prints_allow(self, x: Column, y: Column, m: Column, n: Column) -> Column:
+        """Whether two fingerprints (see `fingerprints`) differ in no more bits than similar sets in members."""
+        return F.bit_count(x.bitwiseXOR(y)) * (self.whole + self.part) <= (m + n) * (self.whole - self.part)
+
     def least_size(self) -> int:
         """Smallest set that can be similar to a different one."""
         return -(-self.part // (self.whole - self.part))
@@ -100,6 +104,13 @@ def bitmap(values: np.ndarray) -> bytes:
         np.uint8).tobytes()
 
 
+def fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit parities of the numbers of members by hash, one a set; no set may be empty."""
+    bits = np.uint64(1) << (values & np.uint64(63))
+    out = np.bitwise_xor.reduceat(bits, offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.uint64)
+    return out.view(np.int64)
+
+
 def _folded(x: np.ndarray, size: int) -> np.ndarray:
     """A larger bitmap as the bitmap of fewer bits: members' places modulo the new size."""
     return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
@@ -172,11 +183,11 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
                       positions: bool) -> DataFrame:
     """(node, component) of all nodes that are similar to another one.
 
-    `groups`: (node, gid) of the nodes of groups of several; `shared`: postings of common tokens. With `positions`,
-    tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
+    `groups`: (node, gid) of the nodes of groups of several; `shared`: postings of common tokens, with fingerprints of
+    the sets in a column `print` if groups are single nodes. With `positions`, tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
     """
     inside = groups.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    links, found = None, None
+    found = None
     for round_ in range(HUB_ROUNDS + 1):
         now, members = _labelled(groups, shared, found)
         if round_ == HUB_ROUNDS:
@@ -184,10 +195,15 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
         else:
             # the ends of the order take turns: a hub that a group is not similar to would stay the same
             end = F.min if round_ % 2 == 0 else F.max
-            hub = now.groupBy("token").agg(end(F.struct("label", "gid", "n")).alias("hub"))
+            marks = [c for c in ("print",) if c in now.columns]
+            hub = now.groupBy("token").agg(end(F.struct("label", "gid", "n", *marks)).alias("hub"))
             pairs = now.join(hub, "token").filter(
                 (F.col("label") != F.col("hub.label")) | (F.col("high") != F.col("hub.label"))).filter(
-                threshold.sizes_allow(F.col("n"), F.col("hub.n"))).filter("gid <> hub.gid").select(
+                threshold.sizes_allow(F.col("n"), F.col("hub.n"))).filter("gid <> hub.gid")
+            if marks:
+                pairs = pairs.filter(threshold.prints_allow(
+                    F.col("print"), F.col("hub.print"), F.col("n"), F.col("hub.n")))
+            pairs = pairs.select(
                 F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
             if round_ == 0:
                 pairs = pairs.unionByName(inside)
@@ -197,8 +213,9 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
             if round_ == HUB_ROUNDS:
                 break
             continue
-        new = verified(pairs.read(), sets, threshold)
-        links = new if links is None else links.unionByName(new)
+        links = verified(pairs.read(), sets, threshold)
+        if found is not None:  # components so far, as stars
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = Stage(connected_components(links), "components").read()
         pairs.drop()
     if found is None:
@@ -227,6 +244,8 @@ def _all_pairs(now: DataFrame, members: DataFrame, threshold: Threshold, positio
     same = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~(
         (F.col("l.label") == F.col("r.high")) & (F.col("l.high") == F.col("r.label")))
     same &= threshold.sizes_allow(F.col("l.n"), F.col("r.n"))
+    if "print" in now.columns:
+        same &= threshold.prints_allow(F.col("l.print"), F.col("r.print"), F.col("l.n"), F.col("r.n"))
     if positions:
         rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
         total = F.col("l.n") + F.col("r.n")
