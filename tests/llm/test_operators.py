@@ -295,6 +295,34 @@ def test_repeated_paragraphs(spark, docs, texts):
     assert cut.count() == len(texts) and paragraph_dedup.remove_paragraphs(empty(docs)).count() == 0
 
 
+def test_passages_are_cut_in_any_host(spark):
+    """Passages of 50 to 100 words between two words of other texts, whatever the sentences around them."""
+    rng = np.random.default_rng(11)
+
+    def text(n):
+        words = rng.choice(6000, n)
+        return [f"w{w}" + ("." if rng.random() < .08 else "") for w in words]
+
+    rows, passages = [], []
+    for k in range(300):
+        passage = text(int(rng.integers(50, 101)))
+        passages.append(passage)
+        for half in (0, 1):
+            at = int(rng.integers(1, 60))
+            host = text(60)
+            rows.append((k + 1000 * half, " ".join(host[:at] + passage + host[at:]), at))
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r.doc_id: r.kept.split() for r in paragraph_dedup.remove_paragraphs(frame).collect()}
+    for i, body, at in rows:
+        words = body.split()
+        if i < 1000:
+            assert found[i] == words
+        else:
+            left = words[:at] + words[at + len(passages[i - 1000]):]
+            # a piece of passage and host may be similar as a whole, so a few words of the host can go
+            assert len(left) - 10 <= len(found[i]) <= len(left) and set(found[i]) <= set(left), i
+
+
 def test_similar_paragraphs_are_found(spark):
     """Against brute force over all pairs of paragraphs: recall by the bands, no false removal."""
     rng = np.random.default_rng(8)

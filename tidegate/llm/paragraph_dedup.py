@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidegate.llm.passages import Grams, mark, repeated_passages
 from tidegate.llm.similarity import Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shingle_sets
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
@@ -71,14 +73,26 @@ class Paragraphs:
         self.index = np.arange(len(self.starts)) - self.first[self.owner]
         self.sizes = self.stops - self.starts
         self.long = np.flatnonzero(self.sizes >= width)
-        self.values, of = shingle_sets(found, width, self.starts[self.long], self.stops[self.long])
-        self.offsets = np.searchsorted(of, np.arange(len(self.long) + 1))
+        self.width = width
+
+    @cached_property
+    def _shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        values, of = shingle_sets(self.words, self.width, self.starts[self.long], self.stops[self.long])
+        return values, np.searchsorted(of, np.arange(len(self.long) + 1))
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._shingles[0]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self._shingles[1]
 
     def bytes_of(self, text: int) -> tuple[np.ndarray, int]:
-        """Where the paragraphs of a text start in it, and its length, in bytes."""
-        own = slice(self.first[text], self.first[text + 1])
+        """Where the words of a text start in it, and its length, in bytes."""
+        own = slice(self.words.bounds[text], self.words.bounds[text + 1])
         begin = self.words.text_starts[text]
-        return self.words.starts[self.starts[own]] - begin, int(self.words.text_starts[text + 1] - 1 - begin)
+        return self.words.starts[own] - begin, int(self.words.text_starts[text + 1] - 1 - begin)
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """Hashes of the bands of each set's MinHash signature, one row a band."""
@@ -169,19 +183,30 @@ CUT = ("n_paragraphs long, n_removed_paragraphs long, n_bytes long, n_removed lo
 def _cut(width: int, min_words: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marked = batch.column(carried).to_pylist(), batch.column(carried + 1).to_pylist()
+            texts, marked, places = (batch.column(carried + k).to_pylist() for k in range(3))
             out: list[list] = [[] for _ in range(6)]
             for a, b in slices(texts):
                 found = Paragraphs(texts[a:b], width)
+                grams = Grams(found.words)
+                covered = np.zeros(len(found.words.hashes), bool)
                 for i in range(b - a):
                     starts, size = found.bytes_of(i)
-                    repeated = np.zeros(len(starts) + 2, bool)
-                    repeated[np.array(marked[a + i] or [], np.int64) + 1] = True
-                    turns = np.flatnonzero(repeated[1:] != repeated[:-1]).reshape(-1, 2)
-                    words = np.concatenate([[0], np.cumsum(found.sizes[found.first[i]: found.first[i + 1]])])
-                    turns = turns[words[turns[:, 1]] - words[turns[:, 0]] >= min_words]
+                    low, high = int(found.words.bounds[i]), int(found.words.bounds[i + 1])
+                    own = slice(found.first[i], found.first[i + 1])
+                    chosen = np.array(marked[a + i] or [], np.int64)
+                    chosen = found.first[i] + chosen[chosen < own.stop - own.start]
+                    for x, y in zip(found.starts[chosen].tolist(), found.stops[chosen].tolist(), strict=True):
+                        covered[x:y] = True
+                    mark(covered, grams, low, high, places[a + i] or [])
+                    turns = np.flatnonzero(np.diff(covered[low:high], prepend=False, append=False)).reshape(-1, 2)
+                    turns = turns[turns[:, 1] - turns[:, 0] >= min_words]
                     ends = np.append(starts, size)
                     spans = [(int(starts[x]), int(ends[y])) for x, y in turns]
+                    gone = np.zeros(high - low + 1, np.int64)
+                    for x, y in turns:
+                        gone[x + 1: y + 1] = 1
+                    gone = np.cumsum(gone)
+                    removed = gone[found.stops[own] - low] - gone[found.starts[own] - low] == found.sizes[own]
                     whole = texts[a + i].encode()
                     kept, at = [], 0
                     for x, y in spans:
@@ -189,7 +214,7 @@ def _cut(width: int, min_words: int, carried: int):
                         at = y
                     kept.append(whole[at:])
                     for column, value in zip(out, (
-                            len(starts), int((turns[:, 1] - turns[:, 0]).sum()), size, sum(y - x for x, y in spans),
+                            own.stop - own.start, int(removed.sum()), size, sum(y - x for x, y in spans),
                             [{"start": x, "stop": y} for x, y in spans], b"".join(kept).decode()), strict=True):
                         column.append(value)
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -201,11 +226,15 @@ def _cut(width: int, min_words: int, carried: int):
     return run
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body")).filter(
+        "doc is not null and body is not null")
+
+
 def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold = JACCARD, recall: float = RECALL,
                         max_bands: int = MAX_BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, indexes): paragraphs, by number in their document, similar to one of a document with a smaller id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("body")).filter(
-        "doc is not null and body is not null")
+    rows = _rows(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
     bands, per_band = tuned_bands(threshold.part / threshold.whole, recall, max_bands)
@@ -231,7 +260,10 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
 def remove_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold = JACCARD, min_words: int = MIN_WORDS,
                       recall: float = RECALL, max_bands: int = MAX_BANDS, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """Cut runs of `min_words` words or more of paragraphs that a document with a smaller id has as well.
+    """Cut runs of `min_words` words or more of paragraphs and passages that a document with a smaller id has as well.
+
+    A passage of 50 words or more that is repeated word by word is found wherever it stands in sentences and widened
+    to all words in common with its first holder (see `passages`); the length rule holds for the widened stretch.
 
     Returns the columns of `docs` (but for those of the names below) with n_paragraphs, n_removed_paragraphs,
     n_bytes, n_removed (bytes), spans (removed runs in bytes) and kept (the remaining text). Every row comes out once.
@@ -239,10 +271,12 @@ def remove_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold
     each other. Paragraphs of fewer words than `width` are not compared. Sets are named by 64-bit hashes.
     """
     marked = repeated_paragraphs(docs, width, threshold, recall, max_bands, id_col, text_col)
+    passages = repeated_passages(_rows(docs, id_col, text_col))
     added = [part.split()[0] for part in CUT.split(", ")]
     kept = [c for c in docs.columns if c not in added]
-    joined = docs.join(marked.withColumnsRenamed({"doc": "_doc", "indexes": "_indexes"}),
-                       F.col(id_col).cast("long") == F.col("_doc"), "left").select(
-        *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"), "_indexes")
+    found = marked.join(passages, "doc", "full").select(
+        F.col("doc").alias("_doc"), F.col("indexes").alias("_indexes"), F.col("places").alias("_places"))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_doc"), "left").select(
+        *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"), "_indexes", "_places")
     schema = joined.select(*kept).schema.simpleString()[7:-1]
     return joined.mapInArrow(_cut(width, min_words, len(kept)), f"{schema}, {CUT}" if kept else CUT)
