@@ -340,6 +340,30 @@ def test_similar_paragraphs_are_found(spark):
     assert width and marked <= set(range(40, 160))
 
 
+def test_edited_paragraphs_are_found(spark):
+    """Recall against brute force over all pairs of lines: one word in the middle of each was changed."""
+    rng = np.random.default_rng(12)
+
+    def line(n):
+        return [f"w{w}" + ("." if rng.random() < .08 else "") for w in rng.choice(6000, n)]
+
+    rows = []
+    for k in range(200):
+        words = line(int(rng.integers(50, 71)))
+        edited = [*words]
+        edited[int(rng.integers(10, 40))] = f"new{k}"
+        for i, own in ((k, words), (1000 + k, edited)):
+            rows.append((i, "\n".join(" ".join(x) for x in (line(12), own, line(15)))))
+    lines = [(i, x, {tuple(x.replace(".", "").split()[j: j + 5]) for j in range(len(x.split()) - 4)})
+             for i, body in rows for x in body.split("\n")]
+    similar = {(j, y) for i, x, p in lines for j, y, q in lines if i < j and len(p & q) >= .8 * len(p | q) > 36}
+    assert len(similar) == 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in paragraph_dedup.remove_paragraphs(frame).collect()}
+    assert sum(y not in kept[j] and len(kept[j].split()) <= 28 for j, y in similar) >= .99 * len(similar)
+    assert all(kept[i] == body for i, body in rows if i < 1000)
+
+
 def test_bands():
     assert paragraph_dedup.tuned_bands(.8) == (4, 1)
     bands, rows = paragraph_dedup.tuned_bands(.8, .998, 16)

@@ -3,7 +3,9 @@
 Paragraphs are cut by content alone, so that a passage set into another text falls into the same ones but for its
 ends: a sentence (up to a line end, or white space with a stop before the next word) of at least WIDTH words ends a
 paragraph; shorter ones belong to the paragraph of the next. Sentences of more than LONG words are also cut after words
-of certain hashes, one in eight. Of a component of similar paragraphs those of the smallest document id stay.
+of certain hashes, one in eight. Edits within such a short piece leave it unlike, so whole paragraphs are compared as
+well: lines, blocks of lines between blank ones, and neighbouring sentences joined to BLOCK words or more. Of a
+component of similar pieces or paragraphs those of the smallest document id stay.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
 WIDTH = 5
 LONG = 20
+#: Sentences are joined to blocks of so many words or more.
+BLOCK = 50
 STOP, LINE_END = np.isin(BYTES, list(b".!?")), np.isin(BYTES, [10])
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
@@ -44,8 +48,31 @@ def tuned_bands(similarity: float, recall: float = RECALL, max_bands: int = MAX_
     return best
 
 
+def _stretches(stops: np.ndarray) -> np.ndarray:
+    return np.stack([np.concatenate([[0], stops[:-1]]), stops], axis=1).astype(np.int64)
+
+
+def _joined(ends: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Sentences joined up to BLOCK words or more within each stretch between borders."""
+    out, start = [], 0
+    border = set(borders.tolist())
+    first = 0  # of the blocks of this stretch
+    for end in ends.tolist():
+        if end in border:
+            if end - start < BLOCK and len(out) > first:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((start, end))
+            start, first = end, len(out)
+        elif end - start >= BLOCK:
+            out.append((start, end))
+            start = end
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 class Paragraphs:
-    """Paragraphs of some texts: first and last word, text, place in the text; shingle sets of those long enough."""
+    """Pieces and whole paragraphs of some texts: first and last word, text, place in the text; shingle sets of those
+    long enough. A paragraph that is one piece is listed once."""
 
     def __init__(self, texts: list[str], width: int):
         self.words = found = Words(texts, NOT_ALNUM)
@@ -57,17 +84,28 @@ class Paragraphs:
             passed = np.concatenate([[0], np.cumsum(chosen[a])])
             return passed[after] > passed[found.ends]
 
-        last = between(LINE_END) | between(STOP) & between(WHITE)  # words that end a sentence
+        line_ends, sentence_ends = between(LINE_END), between(STOP) & between(WHITE)
         final = found.bounds[1:][np.diff(found.bounds) > 0] - 1
-        last[final] = True
+        line_ends[final] = True
+        last = line_ends | sentence_ends  # words that end a sentence
+        blocks = self._blocks(line_ends, last, after)
         sentence_ends = np.flatnonzero(last)
         sizes = np.diff(sentence_ends, prepend=-1)
         last |= np.repeat(sizes > LONG, sizes) & (found.hashes % np.uint64(8) == 0)
         sentence_ends = np.flatnonzero(last)
         sizes = np.diff(sentence_ends, prepend=-1)
         closing = sentence_ends[(sizes >= width) | np.isin(sentence_ends, final)]
-        self.stops = closing + 1
-        self.starts = np.concatenate([[0], self.stops[:-1]]).astype(np.int64) if len(closing) else closing
+        stops = closing + 1
+        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(closing) else closing
+        # pieces, then what is not a piece of the whole paragraphs
+        pieces = len(starts)
+        starts, stops = np.concatenate([starts, blocks[:, 0]]), np.concatenate([stops, blocks[:, 1]])
+        key = starts * (n + 1) + stops
+        _, once = np.unique(key, return_index=True)
+        once = np.sort(once)
+        owner = np.searchsorted(found.bounds, starts[once], "right") - 1
+        once = once[np.lexsort((once, owner))]
+        self.starts, self.stops, self.piece = starts[once], stops[once], once < pieces
         self.owner = np.searchsorted(found.bounds, self.starts, "right") - 1
         self.first = np.searchsorted(self.owner, np.arange(len(texts) + 1))
         self.index = np.arange(len(self.starts)) - self.first[self.owner]
@@ -75,6 +113,23 @@ class Paragraphs:
         self.long = np.flatnonzero(self.sizes >= width)
         self.width = width
 
+    def _blocks(self, line_ends: np.ndarray, sentence_ends: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Starts and stops of lines, of blocks of lines up to a blank one, and of sentences joined to BLOCK words or
+        more, from the start of each line and of each text on; what is left at the end goes to the last of these."""
+        a = np.frombuffer(self.words.raw, np.uint8)
+        stops = np.flatnonzero(line_ends) + 1
+        if not len(stops):
+            return np.zeros((0, 2), np.int64)
+        # a blank line: two line ends with nothing but white space between the words around them
+        passed = np.concatenate([[0], np.cumsum(LINE_END[a])])
+        blank = passed[after[stops - 1]] - passed[self.words.ends[stops - 1]] >= 2
+        texts = np.isin(stops, self.words.bounds)
+        out = [_stretches(stops), _stretches(stops[blank | texts])]
+        ends = np.flatnonzero(sentence_ends) + 1
+        for borders in (stops, stops[texts]):
+            out.append(_joined(ends, borders))
+        return np.unique(np.concatenate(out), axis=0)
+
     @cached_property
     def _shingles(self) -> tuple[np.ndarray, np.ndarray]:
         values, of = shingle_sets(self.words, self.width, self.starts[self.long], self.stops[self.long])
@@ -158,21 +213,27 @@ def _listed(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, outline: bool):
+    """Of the wanted nodes of each text: node, n, bits; or node, shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 found = Paragraphs(texts[a:b], width)
                 node, _ = set_hashes(found.values, found.offsets)
+                own = [set(w) for w in wanted[a:b]]
                 rows: dict[int, np.ndarray] = {}
                 for i, (text, number) in enumerate(zip(found.owner[found.long].tolist(), node.tolist(), strict=True)):
-                    if number in wanted[a + text]:
+                    if number in own[text]:
                         rows[number] = found.values[found.offsets[i]: found.offsets[i + 1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(rows), pa.int64()), pa.array([len(v) for v in rows.values()], pa.int64()),
-                    pa.array([bitmap(v) for v in rows.values()], pa.binary()),
-                    pa.array([v.tobytes() for v in rows.values()], pa.binary())], ["node", "n", "bits", "shingles"])
+                nodes = pa.array(list(rows), pa.int64())
+                if outline:
+                    yield pa.RecordBatch.from_arrays([
+                        nodes, pa.array([len(v) for v in rows.values()], pa.int64()),
+                        pa.array([bitmap(v) for v in rows.values()], pa.binary())], ["node", "n", "bits"])
+                else:
+                    yield pa.RecordBatch.from_arrays([
+                        nodes, pa.array([v.tobytes() for v in rows.values()], pa.binary())], ["node", "shingles"])
     return run
 
 
@@ -214,7 +275,7 @@ def _cut(width: int, min_words: int, carried: int):
                         at = y
                     kept.append(whole[at:])
                     for column, value in zip(out, (
-                            own.stop - own.start, int(removed.sum()), size, sum(y - x for x, y in spans),
+                            int(found.piece[own].sum()), int((removed & found.piece[own]).sum()), size, sum(y - x for x, y in spans),
                             [{"start": x, "stop": y} for x, y in spans], b"".join(kept).decode()), strict=True):
                         column.append(value)
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -243,12 +304,17 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     shared = Stage(posted.repartition(tasks, "token").mapInArrow(_common, posting), "shared").read()
     listed = Stage(rows.mapInArrow(_listed(width), "doc long, index int, node long"), "paragraphs").read()
     needed = shared.select(F.col("gid").alias("node")).distinct()
-    holders = listed.join(needed, "node").groupBy("node").agg(F.min("doc").alias("doc"))
-    wanted = holders.groupBy("doc").agg(F.collect_set("node").alias("wanted"))
-    sets = Stage(rows.join(wanted, "doc").select("body", "wanted").mapInArrow(
-        _sets(width), "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]), "sets").read()
+    holders = Stage(listed.join(needed, "node").groupBy("node").agg(F.min("doc").alias("doc")), "holders").read()
+
+    def sets(nodes: DataFrame, outline: bool, schema: str) -> DataFrame:
+        wanted = nodes.groupBy("doc").agg(F.collect_list("node").alias("wanted"))
+        return rows.join(wanted, "doc").select("body", "wanted").mapInArrow(_sets(width, outline), schema)
+
+    # the sets themselves are made again from the texts when asked for; kept, they would be larger than the texts
+    outlines = Stage(sets(holders, True, "node long, n long, bits binary").dropDuplicates(["node"]), "outlines").read()
+    known = Sets(outlines, lambda nodes: sets(holders.join(nodes, "node"), False, "node long, shingles binary")
+                 .dropDuplicates(["node"]))
     none = shared.filter("false").select(F.col("gid").alias("node"), "gid")
-    known = Sets(sets.select("node", "n", "bits"), lambda nodes: sets.join(nodes, "node"))
     found = linked_components(none, shared, known, threshold, positions=False)
     labelled = listed.join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))
