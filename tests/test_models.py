@@ -167,3 +167,18 @@ def test_isolation_forest(spark):
 def test_prepared_table_round_trip(spark, prepared):
     counts = write_prepared(prepared, scratch_path(spark, "prepared"))
     assert {r.Category: r.n for r in counts.collect()}["BENIGN"] == 1200
+
+
+def test_registered_queries_use_the_library_settings(spark, monkeypatch):
+    from tidegate.catalog import models as CM
+
+    own, library = CM.SETTINGS, Config()
+    assert (own.preprocess, own.loaco, own.data) == (library.preprocess, library.loaco, library.data)
+    assert own.models == ModelConfig(forest_cv_rows=None)
+    sf, asked = "/root/testdata/sf0.001", {}
+    monkeypatch.setattr(EV, "loaco", lambda table, config: asked.update(loaco=config.loaco.categories))
+    monkeypatch.setattr(FE, "fit_feature_pipeline", lambda rows, names, keep, variance: asked.update(keep=keep))
+    CM._loaco(spark, sf)
+    CM._pipeline(spark, sf)
+    classes = {r.category for r in CM.vectors(spark, sf).select("category").distinct().collect()} - {"BENIGN"}
+    assert len(classes) > 2 and set(asked["loaco"]) == classes and asked["keep"] == 30

@@ -82,7 +82,7 @@ register("write_prepared", lambda spark, sf: write_prepared(S.prepared(spark, sf
 def _splits(spark, sf):
     path = scratch_path(spark, "splits")
     rows = C.split_features_labels(S.prepared(spark, sf))
-    write_splits(stratified_split(rows, 0.2, 0.1, CM.SMALL.seed), path)
+    write_splits(stratified_split(rows, 0.2, 0.1, CM.SETTINGS.seed), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,7 +97,7 @@ def _stream_scoring(spark, sf):
     """A fitted stack scores the rows as a stream; every probability equals the batch score."""
     rows = CM.vectors(spark, sf)
     table = CM.splits(spark, sf)
-    model = ST.fit_stack(TR.part(table, "train"), TR.part(table, "val"), CM.SMALL)
+    model = ST.fit_stack(TR.part(table, "train"), TR.part(table, "val"), CM.SETTINGS)
     path, out = scratch_path(spark, "vectors"), scratch_path(spark, "scored")
     rows.select("row_id", "features").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

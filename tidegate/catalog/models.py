@@ -1,17 +1,19 @@
 """Queries over feature vectors: scaling, balancing, model fits and scores.
 
-Fits run on all rows of the embedding table with few iterations and small ensembles.
+Fits run on the embedding table with the library's settings.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidegate.catalog import surrogates as S
 from tidegate.catalog.registry import register
-from tidegate.config import Config, LoacoConfig, ModelConfig, PreprocessConfig
+from tidegate.config import Config, LoacoConfig, ModelConfig
 from tidegate.models import features as FE
 from tidegate.models import forest as FO
 from tidegate.models import isolation as IS
@@ -28,12 +30,8 @@ from tidegate.plans import train as TR
 from tidegate.session import stage
 
 NAMES = [f"f{i:02d}" for i in range(64)]
-SMALL = Config(
-    preprocess=PreprocessConfig(rfe_features=40, class_cap=5000),
-    models=ModelConfig(svc_max_iter=5, forest_trees=5, forest_depth=5, forest_cv_rows=None, one_class_iterations=4,
-                       isolation_trees=25, nu_grid=(0.05, 0.1, 0.2)),
-    loaco=LoacoConfig(categories=("class1", "class2")),
-)
+#: The library's settings; cross-validation of the forest takes all rows.
+SETTINGS = Config(models=ModelConfig(forest_cv_rows=None))
 VW = "WITH " + S.VECTORS_SQL + " "
 PW = "WITH " + S.PREPARED_SQL + " "
 
@@ -49,7 +47,7 @@ def vectors(spark, sf):
 
 
 def splits(spark, sf):
-    return stage(stratified_split(vectors(spark, sf), 0.2, 0.1, SMALL.seed, key=["row_id"]), "splits")
+    return stage(stratified_split(vectors(spark, sf), 0.2, 0.1, SETTINGS.seed, key=["row_id"]), "splits")
 
 
 def scores(df):
@@ -67,7 +65,7 @@ SELECT row_id, round((p - (SELECT min(p) FROM scored_v)) / ((SELECT max(p) FROM
 
 def _smote(spark, sf):
     rows = vectors(spark, sf).withColumn("x", vector_to_array("features"))
-    return smote(rows, 5, SMALL.seed).groupBy("category", "y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return smote(rows, 5, SETTINGS.seed).groupBy("category", "y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 register("smote", _smote, VW.rstrip() + """,
@@ -76,9 +74,9 @@ SELECT category, CASE WHEN category = 'BENIGN' THEN 0 ELSE 1 END AS y, false AS
 UNION ALL SELECT category, CASE WHEN category = 'BENIGN' THEN 0 ELSE 1 END, true, m - n FROM c, m WHERE m > n""")
 
 
-def _pipeline(spark, sf, keep=40):
-    rows = labelled(spark, sf)
-    return rows, FE.fit_feature_pipeline(rows, NAMES, keep, 0.95)
+def _pipeline(spark, sf):
+    rows, options = labelled(spark, sf), SETTINGS.preprocess
+    return rows, FE.fit_feature_pipeline(rows, NAMES, options.rfe_features, options.pca_variance)
 
 
 def _rfe(spark, sf):
@@ -87,14 +85,14 @@ def _rfe(spark, sf):
 
 
 def _apply(spark, sf):
-    rows, fitted = _pipeline(spark, sf, 60)
+    rows, fitted = _pipeline(spark, sf)
     entries = vector_to_array("features")
     finite = F.forall(entries, lambda v: F.abs(v) < F.lit(float("inf")))
     return fitted.transform(rows.drop(fitted.selected[0])).select("row_id", finite.alias("finite"))
 
 
 register("rfe_select", _rfe)
-register("fit_feature_pipeline", lambda spark, sf: _pipeline(spark, sf, 60)[1].diagnostics(spark))
+register("fit_feature_pipeline", lambda spark, sf: _pipeline(spark, sf)[1].diagnostics(spark))
 register("apply_feature_pipeline", _apply, "SELECT vec_id AS row_id, true AS finite FROM embeddings")
 
 
@@ -113,12 +111,12 @@ register("pca_variance", _pca, "SELECT any_value(len(embedding)) AS components,
 
 def _svc(spark, sf):
     rows = vectors(spark, sf)
-    return scores(LI.fit_linear_svc(rows, max_iter=SMALL.models.svc_max_iter).transform(rows))
+    return scores(LI.fit_linear_svc(rows, max_iter=SETTINGS.models.svc_max_iter).transform(rows))
 
 
 def _one_class(spark, sf):
     rows = vectors(spark, sf)
-    detector, = OC.fit_one_class(rows.filter("y = 0"), [0.1], SMALL.models.one_class_iterations)
+    detector, = OC.fit_one_class(rows.filter("y = 0"), [0.1], SETTINGS.models.one_class_iterations)
     inside = LI.with_array(rows).select("row_id", "y", (-detector.anomaly()).alias("decision"))
     # At most about a share of nu of the benign rows lies outside.
     return inside.filter("y = 0").agg((F.avg((F.col("decision") < 0).cast("double")) <= 0.12).alias("within_nu"))
@@ -127,7 +125,7 @@ def _one_class(spark, sf):
 def _calibrated(method):
     def run(spark, sf):
         rows = vectors(spark, sf)
-        detector, = OC.fit_one_class(rows.filter("y = 0"), [0.1], 2)
+        detector, = OC.fit_one_class(rows.filter("y = 0"), [0.1], SETTINGS.models.one_class_iterations)
         p = OC.calibrate(detector, rows, method).transform(rows)
         return p.select("row_id", F.col("p").between(0, 1).alias("in_range"))
 
@@ -136,7 +134,7 @@ def _calibrated(method):
 
 def _grid(spark, sf):
     rows = vectors(spark, sf)
-    detectors = OC.fit_one_class(rows.filter("y = 0"), SMALL.models.nu_grid, 2)
+    detectors = OC.fit_one_class(rows.filter("y = 0"), SETTINGS.models.nu_grid, SETTINGS.models.one_class_iterations)
     best, area = OC.search_detector(detectors, rows)
     return spark.createDataFrame([(best.nu, area)], "nu double, roc_auc double")
 
@@ -150,23 +148,25 @@ register("anomaly_grid_search", _grid)
 
 def _forest(spark, sf):
     rows = vectors(spark, sf)
-    model = FO.fit_random_forest(rows, 5, 5, SMALL.seed)
+    model = FO.fit_random_forest(rows, SETTINGS.models.forest_trees, SETTINGS.models.forest_depth, SETTINGS.seed)
     return scores(FO.score_forest(model, rows))
 
 
 def _kfold(spark, sf):
-    score = FO.forest_cv_score(vectors(spark, sf), 3, 4, SMALL.seed, None)
+    score = FO.forest_cv_score(
+        vectors(spark, sf), SETTINGS.models.forest_trees, SETTINGS.models.forest_depth, SETTINGS.seed,
+        SETTINGS.models.forest_cv_rows)
     return spark.createDataFrame([(score,)], "macro_f1 double")
 
 
 def _isolation(spark, sf):
     rows = vectors(spark, sf)
-    forest = IS.fit_isolation_forest(rows.filter("y = 0"), 25, seed=SMALL.seed)
+    forest = IS.fit_isolation_forest(rows.filter("y = 0"), SETTINGS.models.isolation_trees, seed=SETTINGS.seed)
     return forest.transform(rows).select("row_id", "yhat", F.round("raw", 6).alias("raw"))
 
 
 def _isolation_nodes(spark, sf):
-    forest = IS.fit_isolation_forest(vectors(spark, sf).filter("y = 0"), 25, seed=SMALL.seed)
+    forest = IS.fit_isolation_forest(vectors(spark, sf).filter("y = 0"), SETTINGS.models.isolation_trees, seed=SETTINGS.seed)
     inner = (forest.feature >= 0).sum(axis=1)
     return spark.createDataFrame([(int(t), int(n)) for t, n in enumerate(inner)], "tree int, inner_nodes int")
 
@@ -174,12 +174,23 @@ def _isolation_nodes(spark, sf):
 def _stack(spark, sf):
     table = splits(spark, sf)
     train, validation, test = (TR.part(table, n) for n in ("train", "val", "test"))
-    return scores(ST.fit_stack(train, validation, SMALL).transform(test))
+    return scores(ST.fit_stack(train, validation, SETTINGS).transform(test))
 
 
 def _train_all(spark, sf):
     table = splits(spark, sf)
-    return EV.evaluate(table, TR.train_all(table, SMALL), SMALL)["metrics_summary"]
+    return EV.evaluate(table, TR.train_all(table, SETTINGS), SETTINGS)["metrics_summary"]
+
+
+def attack_classes(table):
+    """Every class of the table but the benign one."""
+    rows = table.filter("y = 1").select("category").distinct().orderBy("category").collect()
+    return tuple(r.category for r in rows)
+
+
+def _loaco(spark, sf):
+    table = splits(spark, sf)
+    return EV.loaco(table, replace(SETTINGS, loaco=LoacoConfig(categories=attack_classes(table))))
 
 
 register("random_forest", _forest)
@@ -188,11 +199,11 @@ register("isolation_forest_predict", _isolation)
 register("isolation_forest_fit", _isolation_nodes)
 register("stack_predict", _stack)
 register("train_all", _train_all)
-register("loaco", lambda spark, sf: EV.loaco(splits(spark, sf), SMALL))
+register("loaco", _loaco)
 
 
 def _split_sizes(spark, sf):
-    rows, _ = PP.split_table(S.prepared(spark, sf), SMALL)
+    rows, _ = PP.split_table(S.prepared(spark, sf), SETTINGS)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
