@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.llm import (
-    decontaminate, jaccard_join, licenses, packing, paragraph_dedup, quality, sharding, suffix_dedup, token_files,
-    toxicity)
+    decontaminate, jaccard_join, licenses, packing, paragraph_dedup, prefix_trie, quality, sharding, suffix_dedup,
+    token_files, toxicity, vantage_trees, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,3 +211,22 @@ def op7_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.remove_paragraphs(docs).select(
         "doc_id", "n_paragraphs", "n_removed_paragraphs", "n_bytes", "n_removed",
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_vantage_trees")
+def op11_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of all embeddings to each whose id is divisible by 50."""
+    return vantage_trees.nearest(table(spark, sf_dir, "embeddings"), 5)
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with its group's opening turns."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_whitened_embeddings")
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by the covariance of their distinct quantised vectors, four components."""
+    vectors, fit = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitening.by_component(vectors, fit).withColumn("deviation", F.col("deviation").try_cast("long"))
