@@ -7,6 +7,8 @@ signature, model_proba, signature_alert, model_decision, fused_decision, fusion_
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidegate.functions import decision as D
@@ -50,8 +52,8 @@ def join_alerts(flows: DataFrame, index: DataFrame) -> DataFrame:
     return joined.withColumn("signature_alert", D.has_signature(F.col("signature")))
 
 
-def flow_totals(flows: DataFrame) -> DataFrame:
-    """Typed flow columns of a parsed event log, with totals and defaults filled in."""
+def flow_totals(flows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed flow columns of a parsed event log, with totals and defaults filled in, and the `keep` columns."""
     default_time = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     stamp = F.coalesce(F.when(F.col("timestamp") != "", F.col("timestamp")), default_time)
     return flows.select(
@@ -65,7 +67,7 @@ def flow_totals(flows: DataFrame) -> DataFrame:
         (FL.counter("bytes_toserver") + FL.counter("bytes_toclient")).alias("bytes_total"),
         (FL.counter("pkts_toserver").cast("long") + FL.counter("pkts_toclient").cast("long")).alias("pkts_total"),
         FL.counter("age").alias("age"),
-        *[c for c in flows.columns if c == "seq" or c in PARSED_COLUMNS],
+        *[c for c in flows.columns if c == "seq" or c in PARSED_COLUMNS or c in keep],
     )
 
 

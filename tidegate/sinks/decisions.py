@@ -20,7 +20,3 @@ def write_decisions_csv(decisions: DataFrame, path: str, mode: str = "overwrite"
 
 def write_bulk(decisions: DataFrame, path: str, index: str, mode: str = "overwrite") -> None:
     bulk_lines(live_records(decisions), index).write.mode(mode).text(path)
-
-
-def write_documents(decisions: DataFrame, path: str, mode: str = "overwrite") -> None:
-    live_records(decisions).write.mode(mode).json(path)

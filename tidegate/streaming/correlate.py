@@ -1,22 +1,17 @@
 """Alerts meeting flows on a stream, in two forms.
 
-`consume_once` is the exact form: an alert waits for the next flow of its id, the newest alert
-wins, one flow uses it up. `interval_join` is the relational form: every alert in a time range
-around the flow matches, and unmatched flows appear when the watermark has passed.
+`take_alerts` is the exact form, on micro-batches: an alert waits for the next flow of its id, the newest alert
+wins, one flow uses it up. `interval_join` is the form with watermarks: every alert in a time range
+around the flow matches, and unmatched flows appear when the watermark has passed, which heartbeats move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidegate.functions.decision import has_signature
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DEFAULT_TTL_SECONDS = 600
 
 
@@ -43,67 +38,46 @@ def last_alert_per_flow(joined: DataFrame) -> DataFrame:
     return merged.withColumn("signature_alert", has_signature(F.col("signature")))
 
 
-class PendingAlert(StatefulProcessor):
-    """Keeps the newest unused alert of a flow id until a flow takes it or its time is up."""
-
-    def __init__(self, columns: list[str], ttl_seconds: int):
-        self.columns = columns
-        self.ttl_ms = ttl_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", T.StructType([T.StructField("signature", T.StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch arrives unordered; its rows of one flow id are put in event order.
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "is_flow"], kind="stable")
-        pending = self.pending.get()[0] if self.pending.exists() else None
-        taken = []
-        for is_flow, signature in zip(pdf["is_flow"], pdf["signature"], strict=True):
-            taken.append((pending or "") if is_flow else "")
-            pending = None if is_flow else signature
-        if pending is None:
-            self.pending.clear()
-        else:
-            self.pending.update((pending,))
-            newest = int(pdf["ts"].max().timestamp() * 1000)
-            self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
-        pdf["signature"] = taken
-        yield pdf.loc[pdf["is_flow"] == 1, self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A newer alert has registered a later timer; only the last one may clear the state.
-        remaining = [t for t in self.handle.listTimers() if t > expiredTimerInfo.getExpiryTimeInMs()]
-        if not remaining:
-            self.pending.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def consume_once(flows: DataFrame, alerts: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
-    """Flows with the alert they use up; both sides come from one log and carry watermarks.
-
-    Flows without an id cannot match and pass by the state.
+WAITING = T.StructType([
+    T.StructField("flow_id", T.StringType()), T.StructField("signature", T.StringType()),
+    T.StructField("arrived", T.TimestampType())])
+
+
+def take_alerts(
+    flows: DataFrame, alerts: DataFrame, waiting: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS
+) -> DataFrame:
+    """The rows of a micro-batch, each flow with the alert it uses up.
+
+    `flows` and `alerts` have flow_id, seq (their place in the log) and arrived; `waiting` has the alerts left by
+    earlier batches. In log order an alert takes the place of one of the same flow that still waits, and a flow uses
+    the waiting one up, if it arrived at most `ttl_seconds` before. So a flow's alert is the row before it, and no
+    group is ever collected. Returns the flows' columns, signature, and `_flow`: false marks alerts that now wait.
+    Flows without an id use no alert, alerts without one are left out; both stay out of the sort.
     """
-    spark = flows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    carried = [c for c in flows.columns if c not in ("flow", "tcp")]
-    keyed = flows.filter(F.col("flow_id").isNotNull())
-    payload = F.to_json(F.struct(*[c for c in flows.columns if c not in ("ts", "flow_id")]))
-    left = keyed.select("flow_id", "ts", F.lit(1).alias("is_flow"), F.lit("").alias("signature"), payload.alias("payload"))
-    right = alerts.select("flow_id", F.col("alert_ts").alias("ts"), F.lit(0).alias("is_flow"), "signature",
-                          F.lit(None).cast("string").alias("payload"))
-    columns = ["flow_id", "ts", "signature", "payload"]
-    matched = left.unionByName(right).groupBy("flow_id").transformWithStateInPandas(
-        PendingAlert(columns, ttl_seconds), "flow_id string, ts timestamp, signature string, payload string",
-        "append", "eventTime",
-    )
-    schema = T.StructType([f for f in flows.schema.fields if f.name not in ("ts", "flow_id")])
-    restored = matched.select("flow_id", "ts", "signature", F.from_json("payload", schema).alias("p"))
-    restored = restored.select("flow_id", "ts", "signature", "p.*")
-    anonymous = flows.filter(F.col("flow_id").isNull()).withColumn("signature", F.lit(""))
-    both = restored.unionByName(anonymous.select(restored.columns))
-    ordered = [c for c in carried if c in both.columns] + [c for c in ("flow", "tcp") if c in both.columns]
-    return both.select(*ordered, "signature").withColumn("signature_alert", has_signature(F.col("signature")))
+    carried = [c for c in flows.columns if c not in ("flow_id", "seq", "arrived")]
+    kinds = {f.name: f.dataType for f in flows.schema.fields}
+    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in carried]
+    place = F.struct(F.lit(1).alias("now"), F.col("seq"))
+    before = F.struct(F.lit(0).alias("now"), F.lit(None).cast(kinds["seq"]).alias("seq"))
+    none = F.lit(None).cast("string").alias("signature")
+    rows = flows.select("flow_id", place.alias("_place"), "arrived", F.lit(True).alias("_flow"), none, *carried)
+    known = alerts.filter(F.col("flow_id").isNotNull()).select(
+        "flow_id", place.alias("_place"), "arrived", F.lit(False).alias("_flow"), "signature", *empty)
+    held = waiting.select("flow_id", before.alias("_place"), "arrived", F.lit(False).alias("_flow"), "signature", *empty)
+    steps = rows.filter(F.col("flow_id").isNotNull()).unionByName(known).unionByName(held)
+    order = Window.partitionBy("flow_id").orderBy("_place", "_flow")
+    row = F.struct("_flow", "signature", "arrived")
+    steps = steps.withColumns({"_before": F.lag(row).over(order), "_after": F.lead("_flow").over(order)})
+    fresh = F.col("arrived") <= F.col("_before.arrived") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    used = F.when(~F.col("_before._flow") & fresh, F.col("_before.signature"))
+    taken = steps.filter(F.col("_flow") | F.col("_after").isNull()).withColumn(
+        "signature", F.when(F.col("_flow"), F.coalesce(used, F.lit(""))).otherwise(F.col("signature")))
+    anonymous = rows.filter(F.col("flow_id").isNull()).withColumn("signature", F.lit(""))
+    columns = ["flow_id", "arrived", "_flow", "signature", *carried]
+    return taken.select(*columns).unionByName(anonymous.select(*columns))
+
+
+def still_waiting(taken: DataFrame, now, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """Of a batch's rows, the alerts that the next batches may use; `now` is the time of this batch."""
+    alive = F.col("arrived") + F.make_dt_interval(secs=F.lit(ttl_seconds)) >= F.lit(now)
+    return taken.filter(~F.col("_flow") & alive).select("flow_id", "signature", "arrived")
