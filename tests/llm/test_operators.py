@@ -204,13 +204,19 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(1, None), (None, ""), (2, "word " * 30_000)], "doc_id long, text string")
     assert [r.predicted for r in toxicity.score_documents(odd, again).collect()] == [0, 0, 0]
     assert toxicity.clean_documents(odd, again).count() == 3
+    # neither repeated words nor clean documents in a row become toxic with their length
+    clean = " ".join(r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").orderBy("doc_id").limit(3000).collect())
+    words = clean.split(" ")
+    for n in (10, 1000, 100_000, 1_000_000):
+        row = (words * (n // len(words) + 1))[:n]
+        assert (model.scores([" ".join(row), "word " * n])[0] < 0.5).all(), n
     nothing = toxicity.fit_documents(docs.filter("false"), labels)
     assert toxicity.score_documents(odd, nothing).filter("predicted = 1").count() == 0
 
 
 def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(3)
-    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(5))
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(toxicity.SUMMARY))
     texts = ["a b c d e f", "", "g", "h i j"]
     found = toxicity.Words(texts, toxicity.NOT_ALNUM)
     got, e = model.marginals(found), model.evidence(found)

@@ -3,8 +3,9 @@
 Two labels, clean and toxic. A word's evidence for toxic is a sum of weights of hashed features (the word, its first
 bytes); neighbours are tied by transition weights. Both are fitted by maximum likelihood on labelled words of a
 bounded sample of labelled documents; the words' labels come from the documents': a word of a toxic document is toxic
-if a feature of it occurs almost only in toxic documents. Forward-backward gives each word's marginal probability;
-a logistic curve over sums of marginals gives the document's score.
+if a feature of it occurs almost only in toxic documents. Forward-backward gives each word's marginal probability; a
+logistic curve over the densest stretch, the largest marginal and the rate of offending words gives the document's score.
+None of these grows with the length of a clean text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ STEPS = 40
 #: A feature marks toxic words if its share of clean documents is so many times smaller than that of toxic ones, and if
 #: so few features would be in as many documents, all of them toxic, by chance.
 MARK_CLEAN, MARK_CHANCE = 0.02, 1e-5
+#: Words of a stretch, and how many numbers the curve sees of a text.
+STRETCH = 32
+SUMMARY = 4
 THRESHOLD = 0.7
 LIMIT = 15.0
 
@@ -79,16 +83,19 @@ class Model:
         return odds / (1 + odds)
 
     def summaries(self, found: Words, marginals: np.ndarray) -> np.ndarray:
-        """What the curve sees of each text: constant, sum and largest marginal, the sum's share, length."""
-        sums = np.concatenate([[0.0], np.cumsum(marginals)])
+        """What the curve sees of each text: constant, squared marginals of the densest STRETCH words, the largest
+        marginal, squared marginals of a hundred words. Squares, as all clean words together must count for little."""
         n = np.diff(found.bounds)
+        sums = np.concatenate([[0.0], np.cumsum(marginals ** 2)])
         total = sums[found.bounds[1:]] - sums[found.bounds[:-1]]
-        most = np.zeros(len(n))
+        most, dense = np.zeros(len(n)), np.zeros(len(n))
         some = np.flatnonzero(n)
         if len(some):
+            at = np.arange(len(marginals))
+            stop = np.minimum(at + STRETCH, np.repeat(found.bounds[1:], n))
             most[some] = np.maximum.reduceat(marginals, found.bounds[:-1][some])
-        return np.stack([np.ones(len(n)), np.log1p(np.maximum(total, 0)), most, total / np.maximum(n, 1),
-                         np.log1p(n) / 10], 1)
+            dense[some] = np.maximum.reduceat(sums[stop] - sums[at], found.bounds[:-1][some])
+        return np.stack([np.ones(len(n)), np.log1p(np.maximum(dense, 0)), most, np.log1p(100 * total / np.maximum(n, 1))], 1)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray]:
         """Scores of texts, with their words and the words' marginals."""
@@ -175,20 +182,20 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     found = Words([texts[i] for i in learnt], NOT_ALNUM)
     feats = features(found)
     labels = word_labels(found, feats, toxic[learnt])
-    model = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2), np.zeros(5))
+    model = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(2), np.zeros(SUMMARY))
     if not labels.any():
         model.weights[:] = -1.0
     else:
         _fit_chain(model, found, feats, labels)
     held = [texts[i] for i in aside]
-    x = np.concatenate([np.zeros((0, 5)), *(model.summaries(w, model.marginals(w)) for w in (
+    x = np.concatenate([np.zeros((0, SUMMARY)), *(model.summaries(w, model.marginals(w)) for w in (
         Words(held[a:b], NOT_ALNUM) for a, b in slices(held)))])
     # rows without words are clean; they hold the curve down at zero
-    x = np.concatenate([x, np.eye(5)[[0]].repeat(20, 0)])
+    x = np.concatenate([x, np.eye(SUMMARY)[[0]].repeat(20, 0)])
     y = np.concatenate([toxic[aside], np.zeros(20)]).astype(float)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(5)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(SUMMARY)
         model.curve += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * model.curve)
     return model
 
@@ -298,9 +305,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
             for a, b in slices(texts):
                 score, found, marginals = model.scores(texts[a:b])
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
+                text, at, before = -1, 0, 0
                 for i in np.flatnonzero(marginals >= 0.5).tolist():
                     k = int(np.searchsorted(found.bounds, i, "right")) - 1
-                    before = len(found.raw[found.text_starts[k]: found.starts[i]].decode())
+                    if k != text:  # characters are counted on from the word before
+                        text, at, before = k, found.text_starts[k], 0
+                    before += len(found.raw[at: found.starts[i]].decode())
+                    at = found.starts[i]
                     spans[k].append({"start": before, "stop": before + len(found.text(i)), "p": float(marginals[i])})
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a), "score": pa.array(score, pa.float64()),
