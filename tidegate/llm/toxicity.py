@@ -289,6 +289,16 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | N
     return Model.from_bytes(found["model"]) if found else fit([], np.zeros(0, np.int64))
 
 
+def offending(found: Words, marginals: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Places of words with marginals of a half or more; of toxic texts without such, of those with the largest."""
+    cut = np.full(len(toxic), 0.5)
+    some = np.flatnonzero(np.diff(found.bounds))
+    if len(some):
+        most = np.maximum.reduceat(marginals, found.bounds[:-1][some])
+        cut[some] = np.where(toxic[some], np.minimum(0.5, most), 0.5)
+    return np.flatnonzero(marginals >= cut[found.owner()])
+
+
 RESULT = "doc_id long, score double, predicted int, spans array<struct<start:long,stop:long,p:double>>"
 
 
@@ -296,8 +306,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                     text_col: str = "text") -> DataFrame:
     """Score whole texts; a row per input row.
 
-    Returns doc_id, score (0 to 1), predicted (1 from `threshold` on), spans (offending words with marginals of at
-    least one half: start and stop in characters of the text). A null text is scored as an empty one.
+    Returns doc_id, score (0 to 1), predicted (1 from `threshold` on), spans (offending words, with marginals of at
+    least one half, or the largest one of a toxic text where none has: start and stop in characters of the text). A
+    null text is scored as an empty one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +317,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
                 score, found, marginals = model.scores(texts[a:b])
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 text, at, before = -1, 0, 0
-                for i in np.flatnonzero(marginals >= 0.5).tolist():
+                for i in offending(found, marginals, score >= threshold).tolist():
                     k = int(np.searchsorted(found.bounds, i, "right")) - 1
                     if k != text:  # characters are counted on from the word before
                         text, at, before = k, found.text_starts[k], 0
