@@ -182,3 +182,35 @@ def test_registered_queries_use_the_library_settings(spark, monkeypatch):
     CM._pipeline(spark, sf)
     classes = {r.category for r in CM.vectors(spark, sf).select("category").distinct().collect()} - {"BENIGN"}
     assert len(classes) > 2 and set(asked["loaco"]) == classes and asked["keep"] == 30
+
+
+def test_squared_hinge_reaches_the_minimum(spark):
+    """Two fits in one run against plain gradient steps on the same rows, and one with a solution by hand."""
+    from tidegate.models.squared_hinge import HingeTask, squared_hinge_fits
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(0, 1.5, 300) > 0.4).astype(int)
+    fold = np.arange(300) % 3
+    rows = spark.createDataFrame(
+        [(int(f), int(t), [float(a) for a in v]) for f, t, v in zip(fold, y, x)], "fold int, y int, _x array<double>").repartition(5)
+    tasks = [HingeTask((1.0, 1.0)), HingeTask((0.7, 1.9), 1, 0.5)]
+
+    def loss(point, task):
+        keep = np.ones(300, bool) if task.fold is None else fold != task.fold
+        xs = np.concatenate([x, np.ones((300, 1))], 1)[keep]
+        s = np.where(y[keep] > 0, 1.0, -1.0)
+        w = task.c * np.where(s > 0, task.weights[1], task.weights[0])
+        gap = np.maximum(0, 1 - s * (xs @ point))
+        return 0.5 * point @ point + (w * gap ** 2).sum(), point - 2 * xs.T @ (w * gap * s)
+
+    for fit, task in zip(squared_hinge_fits(rows, tasks, 4), tasks):
+        value, gradient = loss(fit.point, task)
+        assert fit.objective == pytest.approx(value, rel=1e-12) and np.abs(gradient).max() < 1e-5 and fit.steps < 30
+        point = np.zeros(5)
+        for _ in range(20_000):
+            point = point - 1e-3 / 2 * loss(point, task)[1]
+        assert value <= loss(point, task)[0] + 1e-9 and np.allclose(point, fit.point, atol=1e-4)
+    # one row (x = 1, s = 1): v = 2 (1 - 2 v) for both entries, v = 2 / 5
+    one, = squared_hinge_fits(spark.createDataFrame([(0, 1, [1.0])], "fold int, y int, _x array<double>"), [HingeTask((1.0, 1.0))], 1)
+    assert one.point == pytest.approx([0.4, 0.4]) and one.objective == pytest.approx(0.16 + 0.04)

@@ -27,7 +27,7 @@ class PreprocessConfig:
 @dataclass(frozen=True)
 class ModelConfig:
     svc_c: float = 1.0
-    svc_max_iter: int = 100
+    svc_max_iter: int = 3000
     forest_trees: int = 400
     # Spark trees stop at depth 30.
     forest_depth: int = 30

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegate.functions.numbers import array_dot, dot, logistic, number
+from tidegate.models.squared_hinge import HingeTask, squared_hinge_fits
 from tidegate.operators.sampling import stratified_folds
 from tidegate.session import fit_input
 
@@ -116,28 +116,34 @@ class CalibratedSvc:
         return with_array(df).withColumn(output, mean).drop("_x")
 
 
+def class_weights(n0: int, n1: int) -> tuple[float, float]:
+    """n / (2 * class size) of both classes."""
+    return (n0 + n1) / (2.0 * max(n0, 1)), (n0 + n1) / (2.0 * max(n1, 1))
+
+
 def fit_linear_svc(
-    train: DataFrame, c: float = 1.0, max_iter: int = 100, seed: int = 42, folds: int = 3
+    train: DataFrame, c: float = 1.0, max_iter: int = 3000, seed: int = 42, folds: int = 3
 ) -> CalibratedSvc:
-    """Linear SVM per fold with balanced weights, calibrated on the rows left out.
+    """Linear SVM (squared hinge) per fold with balanced weights, calibrated on the rows left out.
 
-    Expects row_id, features, y.
+    Expects row_id, features, y. All folds are fitted together.
     """
-    with fit_input(stratified_folds(train.select("row_id", "features", "y"), folds, seed, key=["row_id"])) as split:
-        sizes = {r.fold: (r.n0, r.n1) for r in split.groupBy("fold").agg(
-            F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).collect()}
+    rows = with_array(stratified_folds(train.select("row_id", "features", "y"), folds, seed, key=["row_id"]))
+    with fit_input(rows.select("fold", "y", "_x")) as split:
+        found = split.groupBy("fold").agg(
+            F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"),
+            F.max(F.size("_x")).alias("width")).collect()
+        sizes = {r.fold: (r.n0, r.n1) for r in found}
         total = np.sum(list(sizes.values()), axis=0)
-        fits, score = [], F.lit(None).cast("double")
-        for fold in range(folds):
-            n0, n1 = (int(v) for v in total - np.array(sizes[fold]))
-            svm = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", maxIter=max_iter, tol=1e-4,
-                            regParam=1.0 / (c * (n0 + n1)), standardization=False).fit(
-                split.filter(F.col("fold") != fold).withColumn("w", balanced_weight(n0, n1)))
-            weights, bias = [float(v) for v in svm.coefficients], float(svm.intercept)
-            fits.append((weights, bias))
-            value = dot("_x", weights) + F.lit(bias)
-            score = F.when(F.col("fold") == fold, value).otherwise(score)
-        left_out = with_platt_targets(with_array(split).select("fold", "y", score.alias("score")))
+        tasks = [HingeTask(class_weights(*(int(v) for v in total - np.array(sizes.get(fold, (0, 0))))), fold, c)
+                 for fold in range(folds)]
+        fits = squared_hinge_fits(split, tasks, max(r.width for r in found), max_iter)
+        score = F.lit(None).cast("double")
+        for fold, fit in enumerate(fits):
+            score = F.when(F.col("fold") == fold, dot("_x", fit.coefficients) + F.lit(fit.intercept)).otherwise(score)
+        left_out = with_platt_targets(split.select("fold", "y", score.alias("score")))
         sigmoids = logistic_fits(left_out, [
-            platt_task(*sizes[fold], where=f"fold = {fold}") for fold in range(folds)])
-    return CalibratedSvc([(w, b, slope[0], intercept) for (w, b), (slope, intercept) in zip(fits, sigmoids, strict=True)])
+            platt_task(*sizes.get(fold, (0, 0)), where=f"fold = {fold}") for fold in range(folds)])
+    return CalibratedSvc([
+        (fit.coefficients, fit.intercept, slope[0], intercept)
+        for fit, (slope, intercept) in zip(fits, sigmoids, strict=True)])
