@@ -330,20 +330,35 @@ def test_passages_are_cut_in_any_host(spark):
 
 
 def test_similar_paragraphs_are_found(spark):
-    """Against brute force over all pairs of paragraphs: recall by the bands, no false removal."""
+    """Against brute force over all pairs of paragraphs at similarities from .7 to 1: what is similar, and nothing else."""
     rng = np.random.default_rng(8)
-    base = [" ".join(f"v{k}" for k in rng.integers(0, 4000, 40)) for _ in range(40)]
+    base = [[f"v{k}" for k in rng.integers(0, 4000, int(rng.integers(25, 90)))] for _ in range(60)]
     rows = []
-    for i in range(160):
-        w = base[i % 40].split()
-        if i >= 40:
-            w[int(rng.integers(40))] = f"new{i}"
-        rows.append((i, "\n".join([" ".join(w)])))
+    for i in range(300):
+        w = [*base[i % 60]]
+        if i >= 60:
+            for _ in range(int(rng.integers(0, 3))):  # at the ends, where an edit changes one shingle, or inside
+                at = int(rng.choice([0, 1, len(w) - 1, len(w) - 2, int(rng.integers(len(w)))]))
+                w[at] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[j: j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(300))
+    pairs = [(i, j) for j in range(300) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(10):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {i for i in range(300) if label[i] < i}
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    width = 100
-    found = paragraph_dedup.repeated_paragraphs(frame, width=5).collect()
-    marked = {r.doc for r in found}
-    assert width and marked <= set(range(40, 160))
+    marked = {r.doc for r in paragraph_dedup.repeated_paragraphs(frame).collect()}
+    assert marked <= want and len(marked) >= .99 * len(want) > 100
+
+
+def test_removal_keeps_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(60)), i, "p", None, 1) for i in (1, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, doc long, places string, _doc string, indexes int")
+    found = {r.doc_id: r for r in paragraph_dedup.remove_paragraphs(frame).collect()}
+    assert [found[i].n_removed > 0 for i in (1, 2)] == [False, True]
+    assert found[2].doc == 2 and found[2].places == "p" and found[2].indexes == 1
 
 
 def test_edited_paragraphs_are_found(spark):
@@ -371,7 +386,7 @@ def test_edited_paragraphs_are_found(spark):
 
 
 def test_bands():
-    assert paragraph_dedup.tuned_bands(.8) == (4, 1)
+    assert paragraph_dedup.tuned_bands(.8, max_bands=4) == (4, 1) and paragraph_dedup.tuned_bands(.8) == (7, 2)
     bands, rows = paragraph_dedup.tuned_bands(.8, .998, 16)
     assert rows > 1 and 1 - (1 - .8 ** rows) ** bands >= .998
 

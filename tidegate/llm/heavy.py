@@ -10,8 +10,8 @@ HEAVY_KEYS = 1000
 HEAVY_ROWS = 200
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, values: list[str]) -> DataFrame:
-    """`rows` with the `values` that `keyed` has for their `keys` (rows without a partner go).
+def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, values: list[str], how: str = "inner") -> DataFrame:
+    """`rows` with the `values` that `keyed` has for their `keys`; `how` says whether rows without a partner stay.
 
     `keyed` has each key once, and in `count` the number of rows that bear it. The HEAVY_KEYS keys with the most rows
     are broadcast, so their rows stay where they are; the others are shuffled. Both sides should be written tables.
@@ -21,4 +21,4 @@ def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, value
     marked = rows.join(heavy, keys, "left")
     there = marked.filter("_heavy").drop("_heavy")
     rest = marked.filter(F.col("_heavy").isNull()).drop("_heavy", *values)
-    return there.unionByName(rest.join(keyed.select(*keys, *values), keys).select(*there.columns))
+    return there.unionByName(rest.join(keyed.select(*keys, *values), keys, how).select(*there.columns))

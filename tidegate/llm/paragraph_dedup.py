@@ -1,11 +1,9 @@
 """Substring deduplication by paragraphs: MinHash bands find candidates, exact Jaccard decides, components cluster.
 
-Paragraphs are cut by content alone, so that a passage set into another text falls into the same ones but for its
-ends: a sentence (up to a line end, or white space with a stop before the next word) of at least WIDTH words ends a
-paragraph; shorter ones belong to the paragraph of the next. Sentences of more than LONG words are also cut after words
-of certain hashes, one in eight. Edits within such a short piece leave it unlike, so whole paragraphs are compared as
-well: lines, blocks of lines between blank ones, and neighbouring sentences joined to BLOCK words or more. Of a
-component of similar pieces or paragraphs those of the smallest document id stay.
+Paragraphs are lines, blocks of lines between blank ones, and the sentences of a line joined to BLOCK words or more.
+Those of MIN_WORDS words or more are compared; equal ones are merged before they are banded. Of a component of similar
+paragraphs those of the smallest document id stay. Passages that are repeated word by word, wherever they stand in
+paragraphs, are found by `passages`.
 """
 
 from __future__ import annotations
@@ -17,23 +15,23 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from tidegate.llm.passages import Grams, mark, repeated_passages
-from tidegate.llm.similarity import Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shingle_sets
+from tidegate.llm.similarity import (
+    Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shared_tokens, shingle_sets)
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
 WIDTH = 5
-LONG = 20
 #: Sentences are joined to blocks of so many words or more.
 BLOCK = 50
 STOP, LINE_END = np.isin(BYTES, list(b".!?")), np.isin(BYTES, [10])
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
-MAX_BANDS = 4
-#: Consecutive repeated paragraphs go if they have this many words together.
+MAX_BANDS = 8
+#: Paragraphs of so many words are compared, and runs of so many words go.
 MIN_WORDS = 20
-TASK_BYTES = 16_000_000
 
 
 def tuned_bands(similarity: float, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -71,64 +69,47 @@ def _joined(ends: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 
 class Paragraphs:
-    """Pieces and whole paragraphs of some texts: first and last word, text, place in the text; shingle sets of those
-    long enough. A paragraph that is one piece is listed once."""
+    """Paragraphs of some texts: first and last word, text, place in the text; shingle sets of those long enough.
 
-    def __init__(self, texts: list[str], width: int):
+    Lines come with the other paragraphs of a text, in the order of their words; `line` marks them.
+    """
+
+    def __init__(self, texts: list[str], width: int, least: int = MIN_WORDS):
         self.words = found = Words(texts, NOT_ALNUM)
         a = np.frombuffer(found.raw, np.uint8)
-        n = len(found.starts)
-        after = np.append(found.starts[1:], len(a)) if n else np.zeros(0, np.int64)
-
-        def between(chosen: np.ndarray) -> np.ndarray:
-            passed = np.concatenate([[0], np.cumsum(chosen[a])])
-            return passed[after] > passed[found.ends]
-
-        line_ends, sentence_ends = between(LINE_END), between(STOP) & between(WHITE)
-        final = found.bounds[1:][np.diff(found.bounds) > 0] - 1
-        line_ends[final] = True
-        last = line_ends | sentence_ends  # words that end a sentence
-        blocks = self._blocks(line_ends, last, after)
-        sentence_ends = np.flatnonzero(last)
-        sizes = np.diff(sentence_ends, prepend=-1)
-        last |= np.repeat(sizes > LONG, sizes) & (found.hashes % np.uint64(8) == 0)
-        sentence_ends = np.flatnonzero(last)
-        sizes = np.diff(sentence_ends, prepend=-1)
-        closing = sentence_ends[(sizes >= width) | np.isin(sentence_ends, final)]
-        stops = closing + 1
-        starts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(closing) else closing
-        # pieces, then what is not a piece of the whole paragraphs
-        pieces = len(starts)
-        starts, stops = np.concatenate([starts, blocks[:, 0]]), np.concatenate([stops, blocks[:, 1]])
-        key = starts * (n + 1) + stops
-        _, once = np.unique(key, return_index=True)
-        once = np.sort(once)
-        owner = np.searchsorted(found.bounds, starts[once], "right") - 1
-        once = once[np.lexsort((once, owner))]
-        self.starts, self.stops, self.piece = starts[once], stops[once], once < pieces
+        after = np.append(found.starts[1:], len(a)) if len(found.starts) else np.zeros(0, np.int64)
+        line_ends = self._between(LINE_END, after)
+        sentence_ends = self._between(STOP, after) & self._between(WHITE, after)
+        line_ends[found.bounds[1:][np.diff(found.bounds) > 0] - 1] = True
+        lines, others = self._blocks(line_ends, line_ends | sentence_ends, after)
+        both = np.concatenate([lines, others])
+        both, once = np.unique(both, axis=0, return_index=True)
+        self.starts, self.stops, self.line = both[:, 0], both[:, 1], once < len(lines)
         self.owner = np.searchsorted(found.bounds, self.starts, "right") - 1
         self.first = np.searchsorted(self.owner, np.arange(len(texts) + 1))
         self.index = np.arange(len(self.starts)) - self.first[self.owner]
         self.sizes = self.stops - self.starts
-        self.long = np.flatnonzero(self.sizes >= width)
+        self.long = np.flatnonzero(self.sizes >= max(width, least))
         self.width = width
 
-    def _blocks(self, line_ends: np.ndarray, sentence_ends: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Starts and stops of lines, of blocks of lines up to a blank one, and of sentences joined to BLOCK words or
-        more, from the start of each line and of each text on; what is left at the end goes to the last of these."""
+    def _between(self, chosen: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether one of the chosen bytes stands between each word and the next."""
+        passed = np.concatenate([[0], np.cumsum(chosen[np.frombuffer(self.words.raw, np.uint8)])])
+        return passed[after] > passed[self.words.ends]
+
+    def _blocks(self, line_ends: np.ndarray, sentence_ends: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and stops of lines; and of blocks of lines up to a blank one and of sentences joined to BLOCK words or
+        more within a line, what is left at its end going to the last of these."""
         a = np.frombuffer(self.words.raw, np.uint8)
         stops = np.flatnonzero(line_ends) + 1
         if not len(stops):
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         # a blank line: two line ends with nothing but white space between the words around them
         passed = np.concatenate([[0], np.cumsum(LINE_END[a])])
         blank = passed[after[stops - 1]] - passed[self.words.ends[stops - 1]] >= 2
         texts = np.isin(stops, self.words.bounds)
-        out = [_stretches(stops), _stretches(stops[blank | texts])]
-        ends = np.flatnonzero(sentence_ends) + 1
-        for borders in (stops, stops[texts]):
-            out.append(_joined(ends, borders))
-        return np.unique(np.concatenate(out), axis=0)
+        joined = _joined(np.flatnonzero(sentence_ends) + 1, stops)
+        return _stretches(stops), np.concatenate([_stretches(stops[blank | texts]), joined])
 
     @cached_property
     def _shingles(self) -> tuple[np.ndarray, np.ndarray]:
@@ -154,72 +135,39 @@ class Paragraphs:
         out = np.zeros((bands, len(self.long)), np.uint64)
         for band in range(bands):
             for row in range(rows):
-                seed = np.uint64((band * rows + row + 1) * 0x9E3779B97F4A7C15 & (2 ** 64 - 1))
+                # members are mixed hashes; times an odd number they are in another order
+                seed = np.uint64(((band * rows + row + 1) * 0x9E3779B97F4A7C15 | 1) & (2 ** 64 - 1))
                 if len(self.long):
-                    least = np.minimum.reduceat(mixed(self.values ^ seed), self.offsets[:-1])
+                    least = np.minimum.reduceat(self.values * seed, self.offsets[:-1])
                     out[band] = mixed(out[band] * np.uint64(31) ^ least ^ seed)
         return out
 
 
-def _posted(width: int, bands: int, rows: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = Paragraphs(texts[a:b], width)
-                node, _ = set_hashes(found.values, found.offsets)
-                n = np.diff(found.offsets)
-                large = np.flatnonzero(n >= least)  # smaller sets are similar to equal ones only
-                node, once = np.unique(node[large], return_index=True)
-                keys = found.bands(bands, rows)[:, large[once]]
-                n = n[large[once]]
-                prints = fingerprints(found.values, found.offsets)[large[once]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(node, bands)),
-                    pa.array(np.tile(n, bands).astype(np.int32)), pa.array(np.tile(prints, bands))],
-                    ["token", "gid", "n", "print"])
-    return run
-
-
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all postings of some tokens, each once, those of tokens with two nodes or more."""
-    held = list(batches)
-    if not held:
-        return
-    token, gid, n, prints = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
-    held.clear()
-    order = np.lexsort((gid, token))
-    token, gid, n, prints = token[order], gid[order], n[order], prints[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    token, gid, n, prints = token[new], gid[new], n[new], prints[new]
-    several = np.zeros(len(token), bool)
-    several[1:] = token[1:] == token[:-1]
-    several[:-1] |= several[1:]
-    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, gid, n, prints)],
-                                     ["token", "gid", "n", "print"])
-
-
-def _listed(width: int):
+def _listed(width: int, least: int, bands: int, rows: int):
+    """Paragraphs to compare: document, number in it, hash of the set, its size, fingerprint and bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                found = Paragraphs(texts[a:b], width)
+                found = Paragraphs(texts[a:b], width, least)
                 node, _ = set_hashes(found.values, found.offsets)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a).take(pa.array(found.owner[found.long])),
-                    pa.array(found.index[found.long].astype(np.int32)), pa.array(node)], ["doc", "index", "node"])
+                    pa.array(found.index[found.long].astype(np.int32)), pa.array(node),
+                    pa.array(np.diff(found.offsets).astype(np.int32)),
+                    pa.array(fingerprints(found.values, found.offsets)),
+                    *[pa.array(keys.view(np.int64)) for keys in found.bands(bands, rows)]],
+                    ["doc", "index", "node", "n", "print", *[f"k{i}" for i in range(bands)]])
     return run
 
 
-def _sets(width: int, outline: bool):
+def _sets(width: int, least: int, outline: bool):
     """Of the wanted nodes of each text: node, n, bits; or node, shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                found = Paragraphs(texts[a:b], width)
+                found = Paragraphs(texts[a:b], width, least)
                 node, _ = set_hashes(found.values, found.offsets)
                 own = [set(w) for w in wanted[a:b]]
                 rows: dict[int, np.ndarray] = {}
@@ -247,7 +195,7 @@ def _cut(width: int, min_words: int, carried: int):
             texts, marked, places = (batch.column(carried + k).to_pylist() for k in range(3))
             out: list[list] = [[] for _ in range(6)]
             for a, b in slices(texts):
-                found = Paragraphs(texts[a:b], width)
+                found = Paragraphs(texts[a:b], width, min_words)
                 grams = Grams(found.words)
                 covered = np.zeros(len(found.words.hashes), bool)
                 for i in range(b - a):
@@ -275,7 +223,7 @@ def _cut(width: int, min_words: int, carried: int):
                         at = y
                     kept.append(whole[at:])
                     for column, value in zip(out, (
-                            int(found.piece[own].sum()), int((removed & found.piece[own]).sum()), size, sum(y - x for x, y in spans),
+                            int(found.line[own].sum()), int((removed & found.line[own]).sum()), size, sum(y - x for x, y in spans),
                             [{"start": x, "stop": y} for x, y in spans], b"".join(kept).decode()), strict=True):
                         column.append(value)
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -293,34 +241,42 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold = JACCARD, recall: float = RECALL,
-                        max_bands: int = MAX_BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                        max_bands: int = MAX_BANDS, id_col: str = "doc_id", text_col: str = "text",
+                        min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, indexes): paragraphs, by number in their document, similar to one of a document with a smaller id."""
     rows = _rows(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    tasks = max(1, -(-size // TASK_BYTES))
     bands, per_band = tuned_bands(threshold.part / threshold.whole, recall, max_bands)
-    posting = "token long, gid long, n int, print long"
-    posted = rows.mapInArrow(_posted(width, bands, per_band, threshold.least_size()), posting)
-    shared = Stage(posted.repartition(tasks, "token").mapInArrow(_common, posting), "shared").read()
-    listed = Stage(rows.mapInArrow(_listed(width), "doc long, index int, node long"), "paragraphs").read()
-    needed = shared.select(F.col("gid").alias("node")).distinct()
-    holders = Stage(listed.join(needed, "node").groupBy("node").agg(F.min("doc").alias("doc")), "holders").read()
+    keys = [f"k{i}" for i in range(bands)]
+    listed = Stage(rows.mapInArrow(_listed(width, min_words, bands, per_band), "doc long, index int, node long, n int, "
+                                   "print long, " + ", ".join(f"{k} long" for k in keys)), "paragraphs")
+    # equal sets are one node, held by the first document that has it
+    nodes = Stage(listed.read().groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in (
+        "n", "print", *keys)]), "nodes")
+    large = nodes.read().filter(F.col("n") >= threshold.least_size())  # smaller sets are similar to equal ones only
+    posted = large.select(F.explode(F.array(*keys)).alias("token"), F.col("node").alias("gid"), "n", "print")
+    shared = Stage(shared_tokens(posted), "shared")
+    needed = shared.read().select(F.col("gid").alias("node")).distinct()
+    holders = Stage(nodes.read().select("node", "doc").join(needed, "node"), "holders")
+    nodes.drop()
 
     def sets(nodes: DataFrame, outline: bool, schema: str) -> DataFrame:
         wanted = nodes.groupBy("doc").agg(F.collect_list("node").alias("wanted"))
-        return rows.join(wanted, "doc").select("body", "wanted").mapInArrow(_sets(width, outline), schema)
+        return rows.join(wanted, "doc").select("body", "wanted").mapInArrow(_sets(width, min_words, outline), schema)
 
     # the sets themselves are made again from the texts when asked for; kept, they would be larger than the texts
-    outlines = Stage(sets(holders, True, "node long, n long, bits binary").dropDuplicates(["node"]), "outlines").read()
-    known = Sets(outlines, lambda nodes: sets(holders.join(nodes, "node"), False, "node long, shingles binary")
-                 .dropDuplicates(["node"]))
-    none = shared.filter("false").select(F.col("gid").alias("node"), "gid")
-    found = linked_components(none, shared, known, threshold, positions=False)
-    labelled = listed.join(found, "node", "left").select(
+    outlines = Stage(sets(holders.read(), True, "node long, n long, bits binary").dropDuplicates(["node"]), "outlines")
+    known = Sets(outlines.read(), lambda nodes: sets(
+        holders.read().join(nodes, "node"), False, "node long, shingles binary").dropDuplicates(["node"]))
+    none = shared.read().filter("false").select(F.col("gid").alias("node"), "gid")
+    found = linked_components(none, shared.read(), known, threshold, positions=False)
+    labelled = listed.read().select("doc", "index", "node").join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     later = labelled.join(first.select("label", "first"), "label").filter("first < doc")
-    return Stage(later.groupBy("doc").agg(F.collect_list("index").alias("indexes")), "repeated").read()
+    repeated = Stage(later.groupBy("doc").agg(F.collect_list("index").alias("indexes")), "repeated")
+    for done in (listed, shared, holders, outlines):
+        done.drop()
+    return repeated.read()
 
 
 def remove_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold = JACCARD, min_words: int = MIN_WORDS,
@@ -331,18 +287,22 @@ def remove_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshold
     A passage of 50 words or more that is repeated word by word is found wherever it stands in sentences and widened
     to all words in common with its first holder (see `passages`); the length rule holds for the widened stretch.
 
-    Returns the columns of `docs` (but for those of the names below) with n_paragraphs, n_removed_paragraphs,
-    n_bytes, n_removed (bytes), spans (removed runs in bytes) and kept (the remaining text). Every row comes out once.
+    Returns the columns of `docs` (but for those of the names below) with n_paragraphs (lines with a word),
+    n_removed_paragraphs (those that go whole), n_bytes, n_removed (bytes), spans (removed runs in bytes) and kept (the remaining text). Every row comes out once.
     A null text counts as empty; rows without an id stay whole and are no source; rows of equal ids are no source for
-    each other. Paragraphs of fewer words than `width` are not compared. Sets are named by 64-bit hashes.
+    each other. Paragraphs of fewer words than `min_words` are not compared. Sets are named by 64-bit hashes.
     """
-    marked = repeated_paragraphs(docs, width, threshold, recall, max_bands, id_col, text_col)
+    marked = repeated_paragraphs(docs, width, threshold, recall, max_bands, id_col, text_col, min_words)
     passages = repeated_passages(_rows(docs, id_col, text_col))
     added = [part.split()[0] for part in CUT.split(", ")]
     kept = [c for c in docs.columns if c not in added]
-    found = marked.join(passages, "doc", "full").select(
-        F.col("doc").alias("_doc"), F.col("indexes").alias("_indexes"), F.col("places").alias("_places"))
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_doc"), "left").select(
-        *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body"), "_indexes", "_places")
-    schema = joined.select(*kept).schema.simpleString()[7:-1]
-    return joined.mapInArrow(_cut(width, min_words, len(kept)), f"{schema}, {CUT}" if kept else CUT)
+    found = marked.join(passages, "doc", "full").select("doc", F.struct("indexes", "places").alias("found"))
+    # the row as one struct: none of its names can meet one of those joined to it
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = row.join(found, F.col(f"row.{id_col}").cast("long") == F.col("doc"), "left").select(
+        *[F.col(f"row.`{c}`") for c in kept], F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit("")),
+        "found.indexes", "found.places")
+    names = [*kept, *[f"_{k}_" for k in range(3)]]
+    added = docs.sparkSession.createDataFrame([], CUT).schema
+    schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *added.fields])
+    return joined.toDF(*names).mapInArrow(_cut(width, min_words, len(kept)), schema)

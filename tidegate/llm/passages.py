@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegate.llm.heavy import lookup
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import NOT_ALNUM, Words, mixed, slices
 
@@ -109,12 +110,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     words = (found.hashes[max(low, at - REACH): at][::-1] if w["before"]
                              else found.hashes[at + GRAM: min(high, at + GRAM + REACH)])
-                    out.append((w["hash"], w["before"], words.tobytes()))
+                    out.append((w["hash"], w["before"], short(words).tobytes()))
             yield pa.RecordBatch.from_arrays([
                 pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()),
                 pa.array([x[2] for x in out], pa.binary())], ["hash", "before", "words"])
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """What is kept of the words around an anchor, which are alike word by word: half of each hash."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def stands(grams: Grams, at: int, high: int, value: int) -> bool:
     """Whether the gram of this hash is at a place (rows of equal ids may have other texts)."""
     return at + GRAM <= high and int(grams.hashed(np.array([at]), np.array([at + GRAM]))[0]) == value
@@ -129,10 +135,9 @@ def mark(covered: np.ndarray, grams: Grams, low: int, high: int, places: list[di
             continue
         before = after = 0
         if p["before"]:
-            other = np.frombuffer(p["before"], np.uint64)
-            before = _equal(hashes[max(low, at - REACH): at][::-1], other)
+            before = _equal(short(hashes[max(low, at - REACH): at][::-1]), np.frombuffer(p["before"], np.uint32))
         if p["after"]:
-            after = _equal(hashes[at + GRAM: min(high, at + GRAM + REACH)], np.frombuffer(p["after"], np.uint64))
+            after = _equal(short(hashes[at + GRAM: min(high, at + GRAM + REACH)]), np.frombuffer(p["after"], np.uint32))
         covered[at - before: max(at + GRAM + after, low + p["stop"])] = True
 
 
@@ -144,32 +149,43 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
 
 def repeated_passages(rows: DataFrame) -> DataFrame:
     """(doc, places) for rows (doc, body): anchors that a document with a smaller id has too, see `mark`."""
-    anchors = Stage(rows.mapInArrow(_posted, "doc long, pos int, hash long, step int, gap long"), "anchors").read()
+    posted = Stage(rows.mapInArrow(_posted, "doc long, pos int, hash long, step int, gap long"), "anchors")
+    anchors = posted.read()
     heads = anchors.groupBy("hash").agg(
-        F.min(F.struct("doc", "pos", "step", "gap")).alias("head"), F.max("doc").alias("last")).filter("head.doc < last")
-    matched = anchors.join(heads.select("hash", "head"), "hash").filter("head.doc < doc")
+        F.min(F.struct("doc", "pos", "step", "gap")).alias("head"), F.max("doc").alias("last"),
+        F.count(F.lit(1)).alias("rows")).filter("head.doc < last")
+    heads = Stage(heads.select("hash", "head", "rows"), "heads")
+    matched = Stage(lookup(anchors, heads.read(), ["hash"], "rows", ["head"]).filter("head.doc < doc"), "found")
+    posted.drop()
+    heads.drop()
     order = Window.partitionBy("doc").orderBy("pos")
     followed = (F.col("step") > 0) & (F.col("step") == F.col("head.step")) & (F.col("gap") == F.col("head.gap"))
     holder = F.col("head.doc")
     linked = F.col("followed") & (F.lead(holder).over(order) == holder)  # the next anchor is compared instead
-    joined = matched.withColumn("followed", followed).withColumn("linked", F.coalesce(linked, F.lit(False))).select(
+    joined = matched.read().withColumn("followed", followed).withColumn("linked", F.coalesce(linked, F.lit(False))).select(
         "doc", "pos", "hash", F.col("head.doc").alias("holder"), F.col("head.pos").alias("at"),
         (F.col("pos") + GRAM + F.when(F.col("followed"), F.col("step")).otherwise(0)).cast("int").alias("stop"),
         ~F.coalesce(F.lag(F.col("linked")).over(order) & (
             F.lag(F.col("pos") + F.col("step")).over(order) == F.col("pos")), F.lit(False)).alias("x"),
         ~F.col("linked"))
-    joined = Stage(joined.toDF("doc", "pos", "hash", "holder", "at", "stop", "left", "right"), "matched").read()
+    joined = Stage(joined.toDF("doc", "pos", "hash", "holder", "at", "stop", "left", "right"), "matched")
+    matched.drop()
     sides = F.explode(F.filter(F.array(F.when(F.col("left"), True), F.when(F.col("right"), False)), lambda x: x.isNotNull()))
-    wanted = joined.select("holder", "at", "hash", sides.alias("before")).distinct().groupBy("holder").agg(
+    edges = joined.read().select("holder", "at", "hash", sides.alias("before"))
+    wanted = edges.distinct().groupBy("holder").agg(
         F.collect_list(F.struct(F.col("at").alias("pos"), "hash", "before")).alias("wanted"))
-    words = Stage(rows.join(wanted, F.col("doc") == F.col("holder")).select("body", "wanted").mapInArrow(
-        _contexts, "hash long, before boolean, words binary").dropDuplicates(["hash", "before"]), "contexts").read()
-
-    def of(side: bool, name: str) -> DataFrame:
-        flag = "left" if side else "right"
-        return words.filter(F.col("before") == F.lit(side)).select(
-            "hash", F.lit(True).alias(flag), F.col("words").alias(name))
-
-    whole = joined.join(of(True, "before"), ["hash", "left"], "left").join(of(False, "after"), ["hash", "right"], "left")
-    return Stage(whole.groupBy("doc").agg(F.collect_list(F.struct(
-        "pos", "hash", "stop", "before", "after")).cast(PLACES).alias("places")), "passages").read()
+    words = rows.join(wanted, F.col("doc") == F.col("holder")).select("body", "wanted").mapInArrow(
+        _contexts, "hash long, before boolean, words binary").dropDuplicates(["hash", "before"])
+    uses = edges.groupBy("hash", "before").agg(F.count(F.lit(1)).alias("rows"))
+    words = Stage(words.join(uses, ["hash", "before"]), "contexts")
+
+    whole = joined.read()
+    for side, flag, name in ((True, "left", "before"), (False, "right", "after")):
+        own = words.read().filter(F.col("before") == F.lit(side)).select("hash", "rows", F.col("words").alias(name))
+        compared = lookup(whole.filter(F.col(flag)), own, ["hash"], "rows", [name], "left")
+        whole = compared.unionByName(whole.filter(~F.col(flag)).withColumn(name, F.lit(None).cast("binary")))
+    places = Stage(whole.groupBy("doc").agg(F.collect_list(F.struct(
+        "pos", "hash", "stop", "before", "after")).cast(PLACES).alias("places")), "passages")
+    joined.drop()
+    words.drop()
+    return places.read()
