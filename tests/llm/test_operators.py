@@ -146,7 +146,10 @@ def test_decontamination_removal(spark, docs):
     rows = docs.limit(0).unionByName(spark.createDataFrame([
         (1, "A: The QUICK, brown fox! jumps high", "en", None, 1, "", "", ""), (2, "nothing here", "en", None, 1, "", "", ""),
         (None, "the quick brown fox", "en", None, 1, "", "", ""), (3, None, "en", None, 1, "", "", "")], SCHEMA))
+    rows = rows.withColumns({"found_id": F.lit(5), "spans": F.lit("s"), "row": F.lit(1), "_bad_id": F.lit(0), "_hit_key": F.lit(0)})
     found = decontaminate.contamination(rows, frame)
+    assert decontaminate.remove_spans(rows, found).columns == rows.columns
+    assert decontaminate.remove_documents(rows, found).columns == rows.columns
     assert {r.doc_id for r in decontaminate.remove_documents(rows, found).collect()} == {2, 3}
     got = {r.doc_id: r.text for r in decontaminate.remove_spans(rows, found).collect()}
     assert got == {1: "A! jumps high", 2: "nothing here", None: "", 3: None}

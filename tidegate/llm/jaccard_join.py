@@ -169,6 +169,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: Threshold
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that name their component, with all columns; rows without id stay."""
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col(id_col) == F.col("_later"), "left_anti")
+    """The documents that name their component, with all columns, whatever their names; rows without id stay, rows of
+    equal ids stay or go together, empty tables give empty ones."""
+    later = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    return row.join(later, F.col(f"row.{id_col}") == F.col("later"), "left_anti").select("row.*")

@@ -1,6 +1,7 @@
 """Substring deduplication by paragraphs: MinHash bands find candidates, exact Jaccard decides, components cluster.
 
-Paragraphs are lines, blocks of lines between blank ones, and the sentences of a line joined to BLOCK words or more.
+Paragraphs are lines, blocks of lines between blank ones where a text has such, and the sentences of a line joined to
+BLOCK words or more.
 Those of MIN_WORDS words or more are compared; equal ones are merged before they are banded. Of a component of similar
 paragraphs those of the smallest document id stay. Passages that are repeated word by word, wherever they stand in
 paragraphs, are found by `passages`.
@@ -19,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from tidegate.llm.passages import Grams, mark, repeated_passages
 from tidegate.llm.similarity import (
-    Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shared_tokens, shingle_sets)
+    PRINTS, Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shared_tokens, shingle_sets)
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
@@ -30,6 +31,8 @@ STOP, LINE_END = np.isin(BYTES, list(b".!?")), np.isin(BYTES, [10])
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
 MAX_BANDS = 8
+#: Rounds in which a list of candidates meets one of them only, before all pairs of what is left are looked at.
+HUB_ROUNDS = 4
 #: Paragraphs of so many words are compared, and runs of so many words go.
 MIN_WORDS = 20
 
@@ -109,7 +112,10 @@ class Paragraphs:
         blank = passed[after[stops - 1]] - passed[self.words.ends[stops - 1]] >= 2
         texts = np.isin(stops, self.words.bounds)
         joined = _joined(np.flatnonzero(sentence_ends) + 1, stops)
-        return _stretches(stops), np.concatenate([_stretches(stops[blank | texts]), joined])
+        blocks = _stretches(stops[blank | texts])
+        # a text without blank lines has its lines for paragraphs
+        whole = np.isin(blocks[:, 0], self.words.bounds) & np.isin(blocks[:, 1], self.words.bounds)
+        return _stretches(stops), np.concatenate([blocks[~whole], joined])
 
     @cached_property
     def _shingles(self) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +161,9 @@ def _listed(width: int, least: int, bands: int, rows: int):
                     batch.column(0).slice(a, b - a).take(pa.array(found.owner[found.long])),
                     pa.array(found.index[found.long].astype(np.int32)), pa.array(node),
                     pa.array(np.diff(found.offsets).astype(np.int32)),
-                    pa.array(fingerprints(found.values, found.offsets)),
+                    *[pa.array(x) for x in fingerprints(found.values, found.offsets)],
                     *[pa.array(keys.view(np.int64)) for keys in found.bands(bands, rows)]],
-                    ["doc", "index", "node", "n", "print", *[f"k{i}" for i in range(bands)]])
+                    ["doc", "index", "node", "n", *PRINTS, *[f"k{i}" for i in range(bands)]])
     return run
 
 
@@ -248,12 +254,12 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     bands, per_band = tuned_bands(threshold.part / threshold.whole, recall, max_bands)
     keys = [f"k{i}" for i in range(bands)]
     listed = Stage(rows.mapInArrow(_listed(width, min_words, bands, per_band), "doc long, index int, node long, n int, "
-                                   "print long, " + ", ".join(f"{k} long" for k in keys)), "paragraphs")
+                                   + ", ".join(f"{k} long" for k in (*PRINTS, *keys))), "paragraphs")
     # equal sets are one node, held by the first document that has it
     nodes = Stage(listed.read().groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in (
-        "n", "print", *keys)]), "nodes")
+        "n", *PRINTS, *keys)]), "nodes")
     large = nodes.read().filter(F.col("n") >= threshold.least_size())  # smaller sets are similar to equal ones only
-    posted = large.select(F.explode(F.array(*keys)).alias("token"), F.col("node").alias("gid"), "n", "print")
+    posted = large.select(F.explode(F.array(*keys)).alias("token"), F.col("node").alias("gid"), "n", *PRINTS)
     shared = Stage(shared_tokens(posted), "shared")
     needed = shared.read().select(F.col("gid").alias("node")).distinct()
     holders = Stage(nodes.read().select("node", "doc").join(needed, "node"), "holders")
@@ -268,7 +274,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     known = Sets(outlines.read(), lambda nodes: sets(
         holders.read().join(nodes, "node"), False, "node long, shingles binary").dropDuplicates(["node"]))
     none = shared.read().filter("false").select(F.col("gid").alias("node"), "gid")
-    found = linked_components(none, shared.read(), known, threshold, positions=False)
+    found = linked_components(none, shared.read(), known, threshold, positions=False, hub_rounds=HUB_ROUNDS)
     labelled = listed.read().select("doc", "index", "node").join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")

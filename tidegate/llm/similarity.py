@@ -20,6 +20,7 @@ from tidegate.llm.staging import Stage
 from tidegate.llm.words import Words, mixed
 
 HUB_ROUNDS = 2
+PRINTS = ("print0", "print1", "print2", "print3")
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,11 @@ class Threshold:
         common = F.when(m == n, n - 1).otherwise(F.least(m, n))
         return common * self.whole >= (m + n - common) * self.part
 
-    def prints_allow(self, x: Column, y: Column, m: Column, n: Column) -> Column:
-        """Whether two fingerprints (see `fingerprints`) differ in no more bits than similar sets in members."""
-        return F.bit_count(x.bitwiseXOR(y)) * (self.whole + self.part) <= (m + n) * (self.whole - self.part)
+    def prints_allow(self, x: str, y: str, m: Column, n: Column) -> Column:
+        """Whether two fingerprints (the columns PRINTS below x and y) differ in no more bits than similar sets in
+        members."""
+        differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PRINTS), F.lit(0))
+        return differ * (self.whole + self.part) <= (m + n) * (self.whole - self.part)
 
     def least_size(self) -> int:
         """Smallest set that can be similar to a different one."""
@@ -104,11 +107,13 @@ def bitmap(values: np.ndarray) -> bytes:
         np.uint8).tobytes()
 
 
-def fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit parities of the numbers of members by hash, one a set; no set may be empty."""
-    bits = np.uint64(1) << (values & np.uint64(63))
-    out = np.bitwise_xor.reduceat(bits, offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.uint64)
-    return out.view(np.int64)
+def fingerprints(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Parities of the numbers of members by hash, in one 64-bit word for each of PRINTS; no set may be empty."""
+    if len(offsets) < 2:
+        return [np.zeros(0, np.int64) for _ in PRINTS]
+    bits, word = np.uint64(1) << (values & np.uint64(63)), (values >> np.uint64(6)) % np.uint64(len(PRINTS))
+    return [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bits, np.uint64(0)), offsets[:-1]).view(np.int64)
+            for k in range(len(PRINTS))]
 
 
 def _folded(x: np.ndarray, size: int) -> np.ndarray:
@@ -180,29 +185,30 @@ def shared_tokens(postings: DataFrame) -> DataFrame:
 
 
 def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshold: Threshold,
-                      positions: bool) -> DataFrame:
+                      positions: bool, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """(node, component) of all nodes that are similar to another one.
 
     `groups`: (node, gid) of the nodes of groups of several; `shared`: postings of common tokens, with fingerprints of
-    the sets in a column `print` if groups are single nodes. With `positions`, tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
+    the sets (columns PRINTS) if groups are single nodes. With `positions`, tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
     """
     inside = groups.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
     found = None
-    for round_ in range(HUB_ROUNDS + 1):
+    for round_ in range(hub_rounds + 1):
         now, members = _labelled(groups, shared, found)
-        if round_ == HUB_ROUNDS:
+        if round_ == hub_rounds:
             pairs = _all_pairs(now, members, threshold, positions)
         else:
-            # the ends of the order take turns: a hub that a group is not similar to would stay the same
-            end = F.min if round_ % 2 == 0 else F.max
-            marks = [c for c in ("print",) if c in now.columns]
-            hub = now.groupBy("token").agg(end(F.struct("label", "gid", "n", *marks)).alias("hub"))
+            # the ends of the order, then others by a hash: a hub that a group is not similar to would stay the same
+            end = F.max if round_ == 1 else F.min
+            turn = [] if round_ < 2 else [F.xxhash64("gid", F.lit(round_)).alias("turn")]
+            marks = [c for c in PRINTS if c in now.columns]
+            hub = now.groupBy("token").agg(end(F.struct(*turn, "label", "gid", "n", *marks)).alias("hub"))
             pairs = now.join(hub, "token").filter(
                 (F.col("label") != F.col("hub.label")) | (F.col("high") != F.col("hub.label"))).filter(
                 threshold.sizes_allow(F.col("n"), F.col("hub.n"))).filter("gid <> hub.gid")
             if marks:
-                pairs = pairs.filter(threshold.prints_allow(
-                    F.col("print"), F.col("hub.print"), F.col("n"), F.col("hub.n")))
+                pairs = pairs.withColumn("own", F.struct(*marks)).filter(threshold.prints_allow(
+                    "own", "hub", F.col("n"), F.col("hub.n")))
             pairs = pairs.select(
                 F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
             if round_ == 0:
@@ -210,7 +216,7 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
         pairs = Stage(pairs.distinct(), "pairs")
         if pairs.read().isEmpty():
             pairs.drop()
-            if round_ == HUB_ROUNDS:
+            if round_ == hub_rounds:
                 break
             continue
         links = verified(pairs.read(), sets, threshold)
@@ -244,8 +250,8 @@ def _all_pairs(now: DataFrame, members: DataFrame, threshold: Threshold, positio
     same = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~(
         (F.col("l.label") == F.col("r.high")) & (F.col("l.high") == F.col("r.label")))
     same &= threshold.sizes_allow(F.col("l.n"), F.col("r.n"))
-    if "print" in now.columns:
-        same &= threshold.prints_allow(F.col("l.print"), F.col("r.print"), F.col("l.n"), F.col("r.n"))
+    if set(PRINTS) <= set(now.columns):
+        same &= threshold.prints_allow("l", "r", F.col("l.n"), F.col("r.n"))
     if positions:
         rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
         total = F.col("l.n") + F.col("r.n")
