@@ -95,9 +95,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if small:
         every = docs.sparkSession.range(1).select(
             F.lit(0).alias("len"), F.array().cast("array<string>").alias("gram"), none, F.lit(0).cast("long").alias("hash"))
-        wanted = F.broadcast(grams.unionByName(every).withColumnsRenamed({"len": "g_len", "hash": "g_hash"}))
-        same = ((F.col("w.len") == F.col("g_len")) & (F.col("w.hash") == F.col("g_hash"))
-                & (F.slice("words", F.col("w.pos") + 1, F.col("w.len")) == F.col("gram")))
+        wanted = F.broadcast(grams.unionByName(every).select(F.col("hash").alias("g_hash"), "gram", "items"))
+        # as two comparisons: an equality would be a join key, and all words of every window be hashed for it
+        gram = F.slice("words", F.col("w.pos") + 1, F.col("w.len"))
+        same = (F.col("w.hash") == F.col("g_hash")) & (gram >= F.col("gram")) & (gram <= F.col("gram"))
         hits = spread.join(wanted, same).select(*key, "w.pos", "w.len", "items")
     else:
         found = spread.select(*key, "w.*").join(grams, ["len", "hash"])
