@@ -32,7 +32,7 @@ JACCARD = Threshold(80, 100)
 RECALL = 0.998
 MAX_BANDS = 8
 #: Rounds in which a list of candidates meets one of them only, before all pairs of what is left are looked at.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
 #: Paragraphs of so many words are compared, and runs of so many words go.
 MIN_WORDS = 20
 
