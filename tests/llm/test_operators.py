@@ -192,6 +192,14 @@ def test_repeated_strings_of_few_letters(spark):
     assert got == brute_repeats(rows, 50)
 
 
+def test_repeated_strings_of_frequent_grams(docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT_ROWS", 0)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                  for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == brute_repeats(texts, 50)
+
+
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

@@ -29,6 +29,10 @@ BLOCK_BYTES = 4_000_000
 #: Text bytes whose anchors, and contexts of one gram, that meet in one task.
 TASK_BYTES = 16_000_000
 TASK_CONTEXTS = 100_000
+#: Grams of more anchors than FREQUENT_ROWS, found on one document in SAMPLED, are dealt by context; at most FREQUENT.
+SAMPLED = 32
+FREQUENT_ROWS = 32_000
+FREQUENT = 1_000
 
 _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -115,28 +119,31 @@ def _leaders(values: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.repeat(values[starts], np.diff(np.append(starts, len(values)))) if len(values) else values
 
 
-ANCHOR = "h long, c long, doc long, pos int"
-MARK = "doc long, pos int, h long, whole boolean"
+ANCHOR = "h long, c long, doc long, pos int, stop int"
+MARK = "doc long, pos int, h long, stop int"
 STRETCH = "doc long, start int, stop int"
+#: In `stop`: the row is an anchor, not a stretch from `pos` to `stop`.
+OPEN = -1
 
 
 def _sent(span: int, gram: int):
-    """Anchors for the meeting: of equal contexts of a block only those of its first document."""
+    """Of equal contexts of a block the anchors of its first document, and the stretches of all others, which go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches):
             doc, pos, h, c, lead = _block_anchors(ids, texts, span, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (h, c, doc, pos.astype(np.int32))],
-                                             ["h", "c", "doc", "pos"])
+            yield _rows(ANCHOR, h[lead], c[lead], doc[lead], pos[lead], np.full(int(lead.sum()), OPEN))
+            doc, start, stop = united(doc[~lead], pos[~lead] - (span - gram), pos[~lead] + span)
+            # dealt evenly: these meet nothing
+            yield _rows(ANCHOR, mixed(doc.astype(np.uint64) * BASE + start.astype(np.uint64)).view(np.int64),
+                        np.zeros(len(doc), np.int64), doc, start, stop)
     return run
 
 
-def _kept_back(span: int, gram: int):
-    """Stretches of the anchors that were not sent: an earlier document of the block has their context."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _blocks(batches):
-            doc, pos, _, _, lead = _block_anchors(ids, texts, span, gram)
-            yield _stretches(doc[~lead], pos[~lead] - (span - gram), pos[~lead] + span)
-    return run
+def _rows(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = {"long": np.int64, "int": np.int32}
+    names, types = zip(*(field.split() for field in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x.astype(kinds[t])) for x, t in zip(columns, types, strict=True)], list(names))
 
 
 def united(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,26 +167,47 @@ def _stretches(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Recor
                                        pa.array(stop.astype(np.int32))], ["doc", "start", "stop"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors of some grams: repeated contexts, and first holders of contexts that may share a part."""
-    held = list(batches)
-    if not held:
-        return
-    h, c, doc, pos = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
-    held.clear()
-    order = np.lexsort((doc, c, h))
-    h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-    first = _leaders(doc, _new(h, c))
-    of_gram = _new(h)
-    starts = np.flatnonzero(of_gram)
-    if not len(starts):
-        return
-    low, high = np.minimum.reduceat(first, starts), np.maximum.reduceat(first, starts)
-    differ = np.repeat(low < high, np.diff(np.append(starts, len(h))))
-    whole = doc > first
-    keep = whole | differ
-    yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep]), pa.array(np.where(whole, 0, h)[keep]),
-                                      pa.array(whole[keep])], ["doc", "pos", "h", "whole"])
+def _meet(span: int, gram: int, frequent: list[int]):
+    """All anchors of some grams: repeated contexts, and first holders of contexts that may share a part.
+
+    Anchors of a frequent gram meet by context; such a gram is taken to have several contexts.
+    """
+    often = np.array(frequent, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        h, c, doc, pos, stop = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(5))
+        held.clear()
+        known = stop != OPEN
+        yield _rows(MARK, doc[known], pos[known], np.zeros(int(known.sum()), np.int64), stop[known])
+        h, c, doc, pos = h[~known], c[~known], doc[~known], pos[~known]
+        if not len(h):
+            return
+        order = np.lexsort((doc, c, h))
+        h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+        first = _leaders(doc, _new(h, c))
+        starts = np.flatnonzero(_new(h))
+        low, high = np.minimum.reduceat(first, starts), np.maximum.reduceat(first, starts)
+        differ = np.repeat((low < high) | np.isin(h[starts], often), np.diff(np.append(starts, len(h))))
+        whole = doc > first
+        yield _rows(MARK, doc[whole], pos[whole] - (span - gram), np.zeros(int(whole.sum()), np.int64),
+                    pos[whole] + span)
+        part = differ & ~whole
+        yield _rows(MARK, doc[part], pos[part], h[part], np.full(int(part.sum()), OPEN))
+    return run
+
+
+def _frequent(rows: DataFrame, span: int, gram: int) -> list[int]:
+    """The grams with the most anchors by a sample of the documents; it decides where anchors meet, not the result.
+
+    At most FREQUENT grams, so any other one has hardly more than one anchor in as many.
+    """
+    some = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).mapInArrow(_sent(span, gram), ANCHOR)
+    counts = some.filter(F.col("stop") == OPEN).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.filter(F.col("n") > FREQUENT_ROWS // SAMPLED).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return [row.h for row in most.collect()]
 
 
 def _contexts(span: int, gram: int):
@@ -318,21 +346,27 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), body.alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     tasks = max(1, -(-size // TASK_BYTES))
-    marks = Stage(rows.mapInArrow(_sent(span, gram), ANCHOR).repartition(tasks, "h").mapInArrow(_meet, MARK), "marks").read()
-    places = marks.filter("not whole").groupBy("doc").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
-    contexts = Stage(
+    frequent = _frequent(rows, span, gram)
+    key = F.when(F.col("h").isin(frequent), F.xxhash64("h", "c")).otherwise(F.col("h")) if frequent else F.col("h")
+    met = rows.mapInArrow(_sent(span, gram), ANCHOR).repartition(tasks, key).mapInArrow(_meet(span, gram, frequent), MARK)
+    marked = Stage(met, "marks")
+    marks = marked.read()
+    places = marks.filter(F.col("stop") == OPEN).groupBy("doc").agg(
+        F.collect_list(F.struct("pos", "h")).alias("places"))
+    held = Stage(
         rows.join(places, "doc").select("doc", "body", "places").mapInArrow(
-            _contexts(span, gram), "h long, doc long, pos int, before int, context binary"), "contexts").read()
+            _contexts(span, gram), "h long, doc long, pos int, before int, context binary"), "contexts")
+    contexts = held.read()
     crowded = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TASK_CONTEXTS).select("h")
-    crowded = Stage(crowded, "crowded").read()
+    crowds = Stage(crowded, "crowded")
+    crowded = crowds.read()
     groups = max(1, -(-contexts.count() // TASK_CONTEXTS))
     compared = contexts.join(crowded, "h", "left_anti").repartition(groups, "h").sortWithinPartitions("h").mapInArrow(
         _compare(span), STRETCH)
-    held_back = rows.mapInArrow(_kept_back(span, gram), STRETCH)
-    whole = marks.filter("whole").select("doc", (F.col("pos") - (span - gram)).alias("start"),
-                                         (F.col("pos") + span).alias("stop"))
-    found = compared.unionByName(held_back).unionByName(whole)
+    found = compared.unionByName(marks.filter(F.col("stop") != OPEN).select("doc", F.col("pos").alias("start"), "stop"))
     if not crowded.isEmpty():
         found = found.unionByName(_crowded(contexts.join(crowded, "h", "left_semi"), span))
     by_doc = Stage(found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found")), "repeats").read()
+    for stage in (marked, held, crowds):
+        stage.drop()
     return rows.join(by_doc, "doc", "left").select("doc", "body", "found").mapInArrow(_cut, CUT)
