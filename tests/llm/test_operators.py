@@ -424,6 +424,27 @@ def test_licenses(docs, texts):
             assert automaton.match(iter(w)) > 0 if matched and matched.end() else automaton.match(iter(w)) == 0
 
 
+def test_license_texts_are_judged_whole(spark):
+    def text(label):
+        return "x " + " ".join(
+            w for part in licenses.parsed(licenses.TEMPLATES[label])
+            for w in (["the", "holders"] if isinstance(part, int) else [part] if isinstance(part, str) else [])) + " y"
+
+    whole = ["mit-text", "isc-text", "bsd-2-clause-text", "bsd-3-clause-text", "apache-2.0-header", "gpl-2.0-header",
+             "gpl-3.0-header", "spdx-mit"]
+    texts = [text(label) for label in whole] + [
+        text("mit-text").replace("copies of the software and to permit", "copies of the software at home and to permit"),
+        "SPDX-License-Identifier: other", "under the Apache License of old"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (set(r.labels), r.score) for r in rows.collect()}
+    named = {label for label in licenses.TEMPLATES if label.endswith(("-text", "-header"))}
+    for i, label in enumerate(whole):
+        assert label in got[i][0] and got[i][1] == 1.0
+        assert got[i][0] & named <= {label}
+    assert got[len(whole)] == ({"mit-clause"}, 0.75)
+    assert got[len(whole) + 1] == (set(), 0.0) and got[len(whole) + 2] == ({"apache"}, 0.5)
+
+
 def brute_components(texts, width, part, whole):
     sets = {}
     for i, t in texts:

@@ -154,6 +154,7 @@ def license_sql() -> str:
     templates = " UNION ALL ".join(
         f"SELECT r, '{label}' AS label FROM joined WHERE regexp_matches(s, ' {licenses.template_pattern(template)}')"
         for label, template in licenses.TEMPLATES.items())
+    clauses = ", ".join(f"'{label}'" for label in sorted(licenses.CLAUSES))
     return rf"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {sql_words('text')} AS w FROM documents),
 joined AS (SELECT r, ' ' || coalesce(array_to_string(w, ' '), '') || ' ' AS s FROM doc),
@@ -166,7 +167,8 @@ a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
       FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM own) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word,
        l::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
-       CASE WHEN r IN (SELECT r FROM own) THEN 1.0 WHEN n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+       CASE WHEN r IN (SELECT r FROM own WHERE label NOT IN ({clauses})) THEN 1.0
+            WHEN r IN (SELECT r FROM own) THEN 0.75 WHEN n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
 FROM doc LEFT JOIN b USING (r) LEFT JOIN a USING (r)
 """
 

@@ -23,7 +23,8 @@ from tidegate.llm.words import NOT_ALNUM, Words, slices
 #: Phrases that give the base labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Labels of the method and their templates: notices and key clauses of public licenses (fixed wording).
+#: Labels of the method and their templates: notices, whole texts, file headers, key clauses and tags of public
+#: licenses (fixed wording).
 TEMPLATES = {
     "mit-notice": "<<optional>>this <<any 3>> is<</optional>> released under the <<optional>>terms of the<</optional>> "
                   "mit license",
@@ -35,16 +36,91 @@ TEMPLATES = {
                       "<<optional>>or <<optional>>at your option<</optional>> any later version<</optional>>",
     "cc-by-nc-4.0-notice": "licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> "
                            "cc by nc 4 0",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <<any 4>> software and "
-                "associated documentation files the software to deal in the software without restriction",
-    "apache-2.0-text": "you may not use this file except in compliance with the license",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided "
-                "that the following conditions are met",
-    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-                "<<optional>>lesser<</optional>> general public license",
-    "spdx-tag": "spdx license identifier <<any 3>> <<optional>>only<</optional>>",
+    "mit-text":
+        "permission is hereby granted free of charge to any person obtaining a copy of <<any 4>> software and "
+        "associated documentation files the software to deal in the software without restriction including without "
+        "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+        "software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> "
+        "shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall <<any 10>> be liable "
+        "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out "
+        "of or in connection with the software or the use or other dealings in the software",
+    "isc-text":
+        "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with "
+        "or without fee is hereby granted provided that the above copyright notice and this permission notice appear "
+        "in all copies the software is provided as is and <<any 10>> disclaims all warranties with regard to this "
+        "software including all implied warranties of merchantability and fitness in no event shall <<any 10>> be "
+        "liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss "
+        "of use data or profits whether in an action of contract negligence or other tortious action arising out of or "
+        "in connection with the use or performance of this software",
+    "bsd-2-clause-text":
+        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the "
+        "above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution this software "
+        "is provided by <<any 12>> as is and any express or implied warranties including but not limited to the "
+        "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+        "<<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including "
+        "but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort "
+        "including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage",
+    "bsd-3-clause-text":
+        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the "
+        "above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<optional>>3<</optional>> neither the name of <<any 12>> nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission this software "
+        "is provided by <<any 12>> as is and any express or implied warranties including but not limited to the "
+        "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+        "<<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including "
+        "but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort "
+        "including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage",
+    "apache-2.0-header":
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at <<optional>>http<</optional>> <<optional>>https<</optional>> "
+        "www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations "
+        "under the license",
+    "gpl-2.0-header":
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation <<optional>>either<</optional>> version 2 of the "
+        "license <<optional>>or at your option any later version<</optional>> this program is distributed in the hope "
+        "that it will be useful but without any warranty without even the implied warranty of merchantability or "
+        "fitness for a particular purpose see the gnu general public license for more details",
+    "gpl-3.0-header":
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation <<optional>>either<</optional>> version 3 of the "
+        "license <<optional>>or at your option any later version<</optional>> this program is distributed in the hope "
+        "that it will be useful but without any warranty without even the implied warranty of merchantability or "
+        "fitness for a particular purpose see the gnu general public license for more details",
+    "mit-clause": "permission is hereby granted free of charge to any person obtaining a copy of <<any 4>> software "
+                  "and associated documentation files the software to deal in the software without restriction",
+    "apache-clause": "you may not use this file except in compliance with the license",
+    "bsd-clause": "redistribution and use in source and binary forms with or without modification are permitted "
+                  "provided that the following conditions are met",
+    "gpl-clause": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+                  "<<optional>>lesser<</optional>> general public license",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-bsd-2-clause": "spdx license identifier bsd 2 clause",
+    "spdx-bsd-3-clause": "spdx license identifier bsd 3 clause",
+    "spdx-apache-2.0": "spdx license identifier apache 2 0",
+    "spdx-gpl-2.0": "spdx license identifier gpl 2 0 <<optional>>only<</optional>> <<optional>>or later<</optional>>",
+    "spdx-gpl-3.0": "spdx license identifier gpl 3 0 <<optional>>only<</optional>> <<optional>>or later<</optional>>",
 }
 
+#: Labels of single clauses: the wording after them is not looked at, so they alone do not name a license.
+CLAUSES = frozenset({"mit-clause", "apache-clause", "bsd-clause", "gpl-clause"})
+
 MARKUP = re.compile(r"<<(/?optional|any \d+)>>|([^\W_]+)")
 
 
@@ -170,14 +246,18 @@ RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
           "labels array<string>, score double, matches array<struct<label:string,start:long,stop:long>>")
 
 
+def _score(found: set[str], clauses: frozenset[str], phrase: bool) -> float:
+    return 1.0 if found - clauses else 0.75 if found else 0.5 if phrase else 0.0
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", clauses: frozenset[str] = CLAUSES) -> DataFrame:
     """License labels of every document, by base phrases and by template automata.
 
     Returns a row per input row: doc_id, n_words, n_base (places of base phrases), first_word and last_word (their
     smallest and largest start; null without), base_labels, labels (those and the templates'; sorted, distinct),
-    score (1: a template's mandatory wording stands in the text; 0.5: a base phrase only; else 0), matches (label and
-    word range of each place where a template matches). A null text counts as empty; every row is scanned whole, in
+    score (1: the whole mandatory wording of a notice, text, header or tag stands in the document; 0.75: only that of
+    a clause; 0.5: a base phrase only; else 0), matches (label and word range of each place where a template matches). A null text counts as empty; every row is scanned whole, in
     its own task, without a shuffle.
     """
     scan = scanner(templates, base)
@@ -199,7 +279,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
                     "labels": pa.array([sorted({*own, *(m[0] for m in found)})
                                         for own, (_, _, found) in zip(base_labels, rows, strict=True)],
                                        pa.list_(pa.string())),
-                    "score": pa.array([1.0 if found else 0.5 if p else 0.0
+                    "score": pa.array([_score({m[0] for m in found}, clauses, bool(p))
                                        for p, (_, _, found) in zip(places, rows, strict=True)], pa.float64()),
                     "matches": pa.array([[{"label": x, "start": i, "stop": j} for x, i, j in found]
                                          for _, _, found in rows],
