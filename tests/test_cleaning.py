@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import cleaning as C
 from tidegate.plans.prepare import clean_flows
 from tidegate.schemas import FLOW_FEATURES
-from tidegate.sources.flow_csv import header_names, load_raw
+from tidegate.sources.flow_csv import discover, header_groups, header_names, load_raw
 
 
 def rows(df):
@@ -86,3 +86,18 @@ def test_missing_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
         load_raw(spark, str(tmp_path))
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    for i in range(200):
+        name, end = ("a é" if i % 3 == 0 else "b"), ("\r\n" if i % 2 else "\n")
+        (tmp_path / f"f {i:03d}.csv").write_bytes(f" {name},Label{end}{i},x{end}".encode("utf-8" if i % 6 else "latin-1"))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    files = discover(spark, str(tmp_path))
+    assert files.count() == 200  # empty files have no header
+    groups = header_groups(spark, str(tmp_path))
+    assert {names: len(paths) for names, paths in groups.items()} == {("a é", "Label"): 67, ("b", "Label"): 133}
+    raw = load_raw(spark, str(tmp_path))
+    assert set(raw.columns) == {"a é", "b", "Label"}
+    numbers = [int(v) for r in raw.collect() for v in (r["a é"], r["b"]) if v is not None]
+    assert sorted(numbers) == list(range(200))

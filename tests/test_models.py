@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -85,6 +87,12 @@ def test_acceptance_limits(spark, splits):
     one = [r.p for r in TR.predictions(models, test).orderBy("model", "row_id").collect()]
     two = [r.p for r in TR.predictions(again, test).orderBy("model", "row_id").collect()]
     assert one == pytest.approx(two)
+    stepped = replace(models.stack, anomaly=OC.calibrate(models.stack.anomaly, TR.part(table, "val"), "isotonic"))
+    TR.save_models(replace(models, stack=stepped), spark, path)
+    stored = TR.load_models(spark, path).stack
+    assert stored.anomaly.method == "isotonic"
+    three, four = ([r.p for r in m.transform(test).orderBy("row_id").collect()] for m in (stepped, stored))
+    assert three == pytest.approx(four)
     scored = TR.scorer(pipeline, models.stack)(spark.createDataFrame([(0.0,)], "f00 double"))
     assert 0.0 <= scored.first().model_proba <= 1.0
     assert TR.training_summary(table, models).count() >= 6

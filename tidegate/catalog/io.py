@@ -10,13 +10,14 @@ from tidegate.catalog.registry import register
 from tidegate.models import stack as ST
 from tidegate.operators import cleaning as C
 from tidegate.operators import decisions as OD
+from tidegate.operators import metrics as M
 from tidegate.operators import report as RP
 from tidegate.operators.sampling import stratified_split
 from tidegate.plans import train as TR
 from tidegate.session import scratch_path
 from tidegate.sinks.decisions import write_bulk, write_decisions_csv
-from tidegate.sinks.tables import write_prepared, write_splits
-from tidegate.sources.flow_csv import load_raw
+from tidegate.sinks.tables import write_prepared, write_splits, write_tables
+from tidegate.sources.flow_csv import discover, headers, load_raw
 from tidegate.sources.tables import read_decisions_csv, read_ground_truth
 from tidegate.streaming.live import run_available
 
@@ -38,6 +39,42 @@ register("load_raw", _load_raw, "WITH " + S.DIRTY_SQL + """
 SELECT CAST(k AS DOUBLE) AS flow_no, qty, rate, CASE WHEN k % 2 = 0 THEN tax END AS tax, "Label" FROM dirty_v""")
 
 
+def _scan_flow_csv(spark, sf):
+    """The files of a folder tree and their header lines; every second part has other columns."""
+    path = scratch_path(spark, "flow-files")
+    raw = S.dirty(spark, sf).withColumn("part", F.pmod(F.col("Flow ID"), F.lit(16))).repartition(16, "part")
+    odd = F.col("part") % 2 == 1
+    for name, rows in (("a", raw.filter(odd)), ("b", raw.filter(~odd).drop("tax"))):
+        rows.write.partitionBy("part").option("header", True).csv(f"{path}/{name}")
+    files = headers(discover(spark, path)).select(F.col("line").cast("string").alias("header"), F.explode("paths").alias("path"))
+    return files.select("header", F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"))
+
+
+register("scan_flow_csv", _scan_flow_csv, """
+SELECT DISTINCT CASE WHEN l_orderkey % 2 = 1 THEN 'Flow ID,Source Port,Destination Port,qty,rate,disc,tax,Label'
+                     ELSE 'Flow ID,Source Port,Destination Port,qty,rate,disc,Label' END AS header,
+  CAST(l_orderkey % 16 AS BIGINT) AS part FROM lineitem""")
+
+
+def _metrics_tables(spark, sf):
+    """Result tables of three models, written as CSV and read back."""
+    path, predictions = scratch_path(spark, "tables"), S.three_models(spark, sf)
+    write_tables({"confusion": M.confusion_counts(predictions), "per_category_recall": M.per_category_recall(predictions)},
+                 path, "csv")
+    csv = spark.read.option("header", True).option("inferSchema", True).csv
+    counts = csv(f"{path}/confusion").select("model", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")])
+    recalls = csv(f"{path}/per_category_recall").select("model", "category", F.round("recall", 6).alias("recall"))
+    return recalls.join(counts, "model")
+
+
+register("metrics_tables", _metrics_tables, "WITH " + S.THREE_SQL + """,
+c AS (SELECT model, count(*) FILTER (yhat = 1 AND y = 1) AS tp, count(*) FILTER (yhat = 1 AND y = 0) AS fp,
+  count(*) FILTER (yhat = 0 AND y = 0) AS tn, count(*) FILTER (yhat = 0 AND y = 1) AS fn FROM three_v GROUP BY model),
+r AS (SELECT model, category, round(avg(CASE WHEN (category = 'BENIGN') = (yhat = 0) THEN 1.0 ELSE 0.0 END), 6) AS recall
+  FROM three_v GROUP BY model, category)
+SELECT r.model, category, recall, tp, fp, tn, fn FROM r JOIN c ON r.model = c.model""")
+
+
 def _decisions_csv(spark, sf):
     path = scratch_path(spark, "decisions-csv")
     write_decisions_csv(S.decisions(spark, sf), path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegate.catalog import surrogates as S
 from tidegate.catalog.registry import register
 from tidegate.config import Config, LoacoConfig, ModelConfig
+from tidegate.functions.numbers import logistic
 from tidegate.models import features as FE
 from tidegate.models import forest as FO
 from tidegate.models import isolation as IS
@@ -202,6 +203,22 @@ register("train_all", _train_all)
 register("loaco", _loaco)
 
 
+def _meta_learner(spark, sf):
+    """The logistic meta-learner on two scores a row; without penalty on the intercept the mean probability is the rate."""
+    rows = S.scored(spark, sf).select("row_id", "y", F.col("p").alias("p_supervised"), (F.col("p") * F.col("p")).alias("p_anomaly"))
+    rows = stage(rows, "meta")
+    options = SETTINGS.models
+    scores_by_c = ST.meta_scores(rows, options.meta_c_grid, SETTINGS.seed, options.meta_max_iter)
+    best = max(options.meta_c_grid, key=lambda c: (scores_by_c[c], -options.meta_c_grid.index(c)))
+    (weights, intercept), = LI.logistic_fits(rows, [LI.LogisticTask(ST.STACK_INPUTS, best)], options.meta_max_iter)
+    p = logistic(LI.linear(ST.STACK_INPUTS, [*weights, intercept]))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"))
+
+
+register("stack_meta_learner", _meta_learner, "WITH " + S.SCORED_SQL + """
+SELECT count(*) AS n, round(avg(y), 6) AS mean_p FROM scored_v""")
+
+
 def _split_sizes(spark, sf):
     rows, _ = PP.split_table(S.prepared(spark, sf), SETTINGS)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

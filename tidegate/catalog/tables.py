@@ -62,6 +62,18 @@ def _drop_rare(df):
 
 
 register("drop_rare_categories", on(S.prepared, _drop_rare), _RARE)
+def _padded(spark, sf):
+    """Columns whose names have blanks around them."""
+    d = S.dirty(spark, sf).select(F.col("Flow ID").alias("flow_no"), "disc", "tax")
+    return C.strip_headers(d.toDF(*[f" {c}\t" for c in d.columns]))
+
+
+register("strip_headers", _padded, "WITH " + S.DIRTY_SQL + " SELECT k AS flow_no, disc, tax FROM dirty_v")
+register("label_normalise_types", lambda spark, sf: C.normalise_label_types(
+    C.split_features_labels(S.prepared(spark, sf)).withColumn("y", F.col("y").cast("string"))).select(
+    *S.FLOW_COLUMNS, "y", "category"), PW + """
+SELECT l_quantity, l_extendedprice, l_discount, l_tax, CAST("Category" <> 'BENIGN' AS INTEGER) AS y, "Category" AS category
+FROM prepared_v""")
 register("split_features_labels", on(S.prepared, C.split_features_labels), PW + """
 SELECT l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN "Category" = 'BENIGN' THEN 0 ELSE 1 END AS y,
   "Category" AS category FROM prepared_v""")

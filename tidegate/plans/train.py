@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.config import Config
@@ -69,16 +70,17 @@ def scorer(pipeline: FeaturePipeline, stack: StackedDetector):
 
 
 def save_models(models: Models, spark: SparkSession, path: str) -> None:
+    """Folders forest, isolation, stack, svc and, for a detector calibrated so, isotonic."""
     stack = models.stack
     stack.supervised.write().overwrite().save(f"{path}/forest")
     save_forest(models.isolation, spark, f"{path}/isolation")
     anomaly = stack.anomaly
-    if anomaly.method != "sigmoid":
-        raise ValueError("only sigmoid-calibrated detectors are stored")
+    if anomaly.isotonic is not None:
+        anomaly.isotonic.write().overwrite().save(f"{path}/isotonic")
     spark.createDataFrame(
-        [(anomaly.nu, anomaly.weights, anomaly.rho, anomaly.slope, anomaly.intercept, stack.meta_weights,
-          stack.meta_intercept, {k: str(v) for k, v in stack.params.items()})],
-        "nu double, weights array<double>, rho double, slope double, intercept double, "
+        [(anomaly.nu, anomaly.weights, anomaly.rho, anomaly.method, anomaly.slope, anomaly.intercept,
+          stack.meta_weights, stack.meta_intercept, {k: str(v) for k, v in stack.params.items()})],
+        "nu double, weights array<double>, rho double, method string, slope double, intercept double, "
         "meta_weights array<double>, meta_intercept double, params map<string,string>",
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/stack")
     spark.createDataFrame(
@@ -88,7 +90,8 @@ def save_models(models: Models, spark: SparkSession, path: str) -> None:
 
 def load_models(spark: SparkSession, path: str) -> Models:
     s = spark.read.parquet(f"{path}/stack").first()
-    anomaly = OneClassSvm(s.nu, list(s.weights), s.rho, "sigmoid", s.slope, s.intercept)
+    isotonic = IsotonicRegressionModel.load(f"{path}/isotonic") if s.method == "isotonic" else None
+    anomaly = OneClassSvm(s.nu, list(s.weights), s.rho, s.method, s.slope, s.intercept, isotonic)
     stack = StackedDetector(RandomForestClassificationModel.load(f"{path}/forest"), anomaly,
                             list(s.meta_weights), s.meta_intercept, dict(s.params))
     members = [(list(r.weights), r.bias, r.slope, r.intercept) for r in spark.read.parquet(f"{path}/svc").collect()]
