@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators import sampling as SA
 from tidegate.operators.neighbours import nearest
-from tidegate.operators.quantiles import exact_quantiles
+from tidegate.operators.quantiles import column_quantiles
 from tidegate.operators.smote import smote
 
 
@@ -78,17 +78,36 @@ def test_folds(table):
 
 
 @pytest.mark.parametrize("direct_rows", [10_000_000, 200])
-def test_quantiles_are_exact(spark, direct_rows):
+@pytest.mark.parametrize("by", [None, "group"])
+def test_quantiles_are_exact(spark, direct_rows, by):
     rng = np.random.default_rng(3)
-    values = {"normal": rng.normal(size=5000), "copies": np.r_[np.full(3000, 1.25), rng.normal(size=1500)],
-              "few": np.array([3.0, 1.0, 2.0]), "one": np.array([7.0])}
-    pdf = pd.concat([pd.DataFrame({"feature": k, "value": v}) for k, v in values.items()])
-    long = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([("few", None), ("few", float("nan"))], "feature string, value double"))
-    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r.feature, r.prob): r.quantile for r in exact_quantiles(long, ["feature"], probs, direct_rows=direct_rows).collect()}
-    assert len(got) == 28
-    for (feature, prob), value in got.items():
-        assert value == pytest.approx(np.quantile(values[feature], prob), abs=1e-12), (feature, prob)
+    n = 9_000
+    table = pd.DataFrame({
+        "group": rng.choice(["a", "b", "rare"], n, p=[0.6, 0.3995, 0.0005]), "normal": rng.normal(size=n),
+        "copies": np.where(rng.random(n) < 0.7, 1.25, rng.normal(size=n)), "heavy.tail": rng.pareto(0.3, n),
+        "few": np.where(np.arange(n) < 3, rng.random(n), np.nan), "none": np.full(n, np.nan), "whole": rng.integers(0, 9, n)})
+    probs = [0.0, 0.25, 0.999]
+    columns = [c for c in table.columns if c != "group"]
+    df = spark.createDataFrame(table).unionByName(
+        spark.createDataFrame([("a", None), ("a", float("nan"))], "group string, normal double"), allowMissingColumns=True)
+    got = {(r[by] if by else None, r.feature): (r.n, r.q)
+           for r in column_quantiles(df, columns, probs, by, direct_rows=direct_rows).collect()}
+    want = {}
+    for name, rows in (table.groupby("group") if by else [(None, table)]):
+        for c in columns:
+            present = rows[c].dropna().to_numpy()
+            if len(present):
+                want[name, c] = (len(present), np.quantile(present, probs))
+    assert got.keys() == want.keys()
+    for key, (count, q) in want.items():
+        assert got[key][0] == count
+        assert got[key][1] == pytest.approx(q, rel=1e-12, abs=1e-12), key
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "group string, v double")
+    assert column_quantiles(empty, ["v"], [0.5]).count() == 0
+    assert column_quantiles(empty, ["v"], [0.5], "group").count() == 0
 
 
 @pytest.fixture(scope="module")

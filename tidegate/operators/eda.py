@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegate.functions.labels import is_attack
 from tidegate.functions.numbers import ratio
 from tidegate.operators.cleaning import category_distribution, feature_names, quoted
-from tidegate.operators.quantiles import DIRECT_ROWS, quantile_columns
+from tidegate.operators.quantiles import DIRECT_ROWS, attach, column_quantiles, plain_values, within
 from tidegate.schemas import CATEGORY
-from tidegate.session import small_table
+from tidegate.session import small_table, stage
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -32,12 +32,6 @@ def per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFra
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def long_values(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """(ids..., feature, value) rows without missing values."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).cast("double").alias("value")) for c in features])
-    return df.select(*ids, F.inline(cells)).filter("value is not null and not isnan(value)")
-
-
 def class_distribution(df: DataFrame) -> DataFrame:
     share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())
     return category_distribution(df).withColumn("pct", share)
@@ -91,35 +85,53 @@ def top_label_features(df: DataFrame, k: int) -> list[str]:
     return [row.feature for row in label_correlation(df, k).collect()]
 
 
+def _by_feature(table: DataFrame, features: Sequence[str], ends: list) -> DataFrame:
+    """(category, slot, ends) of a quantile table, for `attach`."""
+    place = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature")).cast("int") - 1
+    return table.select(CATEGORY, place.alias("slot"), F.array(*ends).alias("ends"))
+
+
 def boxplot_stats(
     df: DataFrame, features: Sequence[str], max_categories: int = 7, direct_rows: int = DIRECT_ROWS
 ) -> DataFrame:
     """Box and whisker numbers per feature and category, tails beyond .1 % and 99.9 % cut first."""
+    features, width = list(features), len(features)
     top = small_table(category_distribution(df).limit(max_categories).select(CATEGORY))
-    long = long_values(df.join(top, CATEGORY), features, [CATEGORY])
-    keys = ["feature", CATEGORY]
-    tails = small_table(quantile_columns(long, keys, {"low": 0.001, "high": 0.999}, direct_rows=direct_rows))
-    trimmed = long.join(tails.drop("n"), keys).filter("value >= low and value <= high").drop("low", "high")
-    boxes = small_table(quantile_columns(trimmed, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, direct_rows=direct_rows))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    whiskers = trimmed.join(boxes, keys).groupBy(*keys, "n", "q1", "median", "q3").agg(
-        F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("whisker_high"),
-    )
-    return whiskers
+    values = stage(plain_values(df.join(top, CATEGORY), features, CATEGORY), "boxes")
+    names = [f"_{i}" for i in range(width)]
+    tails = column_quantiles(values, names, [0.001, 0.999], CATEGORY, direct_rows)
+    q = F.col("q")
+    cut = attach(values, _by_feature(tails, names, [q[0], q[1]]), width, CATEGORY)
+    trimmed = cut.select(CATEGORY, *[
+        F.when(within(F.col(c), F.col("_b")[i]), F.col(c)).alias(c) for i, c in enumerate(names)])
+    boxes = small_table(column_quantiles(trimmed, names, [0.25, 0.5, 0.75], CATEGORY, direct_rows))
+    reach = 1.5 * (q[2] - q[0])
+    fenced = attach(trimmed, _by_feature(boxes, names, [q[0] - reach, q[2] + reach]), width, CATEGORY)
+    cells = []
+    for i, c in enumerate(names):
+        v, ends = F.col(c), F.col("_b")[i]
+        cells.append(F.struct(
+            F.lit(c).alias("feature"), F.lit(features[i]).alias("name"),
+            F.min(F.when(v >= ends[0], v)).alias("whisker_low"), F.max(F.when(v <= ends[1], v)).alias("whisker_high")))
+    whiskers = fenced.groupBy(CATEGORY).agg(F.array(*cells).alias("c")).select(CATEGORY, F.inline("c"))
+    return boxes.join(whiskers, ["feature", CATEGORY]).select(
+        F.col("name").alias("feature"), CATEGORY, "n", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
+        "whisker_low", "whisker_high")
 
 
 def outlier_summary(df: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Count and share of values outside 1.5 interquartile ranges, per feature."""
     features = numeric_features(df)
-    boxes = quantile_columns(long_values(df, features), ["feature"], {"q1": 0.25, "q3": 0.75}, direct_rows=direct_rows)
-    fences = {r.feature: (r.q1 - 1.5 * (r.q3 - r.q1), r.q3 + 1.5 * (r.q3 - r.q1)) for r in boxes.collect()}
+    values = stage(plain_values(df, features, None), "outliers")
+    names = [f"_{i}" for i in range(len(features))]
+    boxes = column_quantiles(values, names, [0.25, 0.75], direct_rows=direct_rows)
+    fences = {r.feature: (r.q[0] - 1.5 * (r.q[1] - r.q[0]), r.q[1] + 1.5 * (r.q[1] - r.q[0])) for r in boxes.collect()}
     cells = []
-    for c in features:
-        low, high = fences.get(c, (float("-inf"), float("inf")))
-        outside = (quoted(c) < F.lit(low)) | (quoted(c) > F.lit(high))
+    for c, name in zip(features, names):
+        low, high = fences.get(name, (float("-inf"), float("inf")))
+        outside = (F.col(name) < F.lit(low)) | (F.col(name) > F.lit(high))
         cells.append(F.struct(F.lit(c).alias("feature"), F.count_if(outside).alias("outlier_count")))
-    row = df.agg(F.array(*cells).alias("cells"), F.count(F.lit(1)).alias("rows"))
+    row = values.agg(F.array(*cells).alias("cells"), F.count(F.lit(1)).alias("rows"))
     flat = row.select(F.inline("cells"), "rows")
     pct = F.round(100 * ratio(F.col("outlier_count"), F.col("rows")), 2)
     return flat.select("feature", "outlier_count", pct.alias("outlier_pct")).orderBy(F.desc("outlier_pct"), "feature")
@@ -127,12 +139,17 @@ def outlier_summary(df: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
 
 def per_class_stats(df: DataFrame, features: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """n, mean, median and sample deviation per feature and category."""
-    long = long_values(df, features, [CATEGORY])
-    keys = ["feature", CATEGORY]
-    moments = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    medians = quantile_columns(long, keys, {"median": 0.5}, direct_rows=direct_rows).drop("n")
-    return moments.join(medians, keys).select("feature", F.col(CATEGORY).alias("category"), "n", "mean", "median", "std")
+    values = stage(plain_values(df, features, CATEGORY), "classes")
+    names = [f"_{i}" for i in range(len(features))]
+    cells = [
+        F.struct(F.lit(c).alias("feature"), F.lit(features[i]).alias("name"), F.avg(c).alias("mean"),
+                 F.stddev_samp(c).alias("std"))
+        for i, c in enumerate(names)
+    ]
+    moments = values.groupBy(CATEGORY).agg(F.array(*cells).alias("c")).select(CATEGORY, F.inline("c"))
+    medians = column_quantiles(values, names, [0.5], CATEGORY, direct_rows)
+    return medians.join(small_table(moments), ["feature", CATEGORY]).select(
+        F.col("name").alias("feature"), F.col(CATEGORY).alias("category"), "n", "mean", F.col("q")[0].alias("median"), "std")
 
 
 def summary(df: DataFrame) -> DataFrame:
