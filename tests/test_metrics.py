@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,25 @@ def test_pr_curve(spark):
     assert got == [(0.1, 0.5, 1.0), (0.7, pytest.approx(2 / 3), 1.0), (0.8, 0.5, 0.5), (0.9, 1.0, 0.5), (None, 1.0, 0.0)]
 
 
+def test_curves_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_SCORES", 7)
+    rng = np.random.default_rng(2)
+    p, y = np.round(rng.random(400), 2), rng.integers(0, 2, 400)
+    df = predictions(spark, [(int(a), float(b)) for a, b in zip(y, p)])
+    wins = np.sum(p[y == 1][:, None] > p[y == 0][None, :]) + 0.5 * np.sum(p[y == 1][:, None] == p[y == 0][None, :])
+    counts = M.score_counts(df)
+    assert counts.select("_b").distinct().count() > 8
+    assert M.area_of_counts(counts).first().roc_auc == pytest.approx(wins / (y.sum() * (400 - y.sum())))
+    curve = [r for r in M.curve_of_counts(counts).collect() if r.threshold is not None]
+    assert len(curve) == len(set(p))
+    for r in curve:
+        assert r.recall == pytest.approx(y[p >= r.threshold].sum() / y.sum())
+        assert r.precision == pytest.approx(y[p >= r.threshold].mean())
+    table = M.evaluate_models(df).first()
+    assert table.tp + table.fp + table.tn + table.fn == 400
+    assert table.ece == pytest.approx(M.expected_calibration_error(df).first().ece)
+
+
 def test_bins_use_exact_edges(spark):
     edges = unit_interval_edges(10)
     assert edges[3] == 0.30000000000000004

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegate.functions import rates as R
 from tidegate.functions.numbers import bin_by_edges, ratio, unit_interval_edges
 from tidegate.schemas import BENIGN
+from tidegate.session import scratch_path
 
-SCORE_BUCKETS = 256
+RANGE_SCORES = 1_000_000
 # Columns of the published metrics table (fixed order).
 METRIC_COLUMNS = ["macro_f1", "mcc", "accuracy", "precision", "recall", "false_positive_rate",
                   "false_negative_rate", "roc_auc", "ece", "tp", "fp", "tn", "fn"]
@@ -51,32 +51,37 @@ def scored(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("p", F.coalesce(F.nanvl(F.col("p").cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def _score_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score, with a bucket that keeps the score order.
+def score_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Outcome counts per distinct score, written in score order; `_b` names the range a score lies in.
 
-    Bucket limits are approximate quantiles of the distinct scores, so no bucket can hold more
-    than a small share of them; running sums are taken per bucket and joined by bucket totals.
+    A range is one written file of at most RANGE_SCORES scores, so ranges grow in number and not in size.
+    Running sums are taken per range and joined by the totals of the ranges before it.
     """
-    scores = scored(predictions).groupBy(*by, "p").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    probs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    inner = sorted(set(scores.approxQuantile("p", probs, 1.0 / (4 * SCORE_BUCKETS))))
-    if not inner:
-        return scores.withColumn("_b", F.lit(0.0))
-    splits = [float("-inf"), *inner, float("inf")]
-    return Bucketizer(splits=splits, inputCol="p", outputCol="_b").transform(scores)
+    by = list(by)
+    counts = scored(predictions).groupBy(*by, "p").agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), *count_columns())
+    path = scratch_path(predictions.sparkSession, "scores")
+    ordered = counts.repartitionByRange(*by, "p").sortWithinPartitions(*by, "p")
+    ordered.write.option("maxRecordsPerFile", RANGE_SCORES).parquet(path)
+    # Names of files follow the order in which a job's tasks number their ranges.
+    return predictions.sparkSession.read.parquet(path).withColumn("_b", F.col("_metadata.file_name"))
 
 
 def roc_auc(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Area under the ROC curve with ties counted half; NaN when only one class occurs."""
+    return area_of_counts(score_counts(predictions, by), by)
+
+
+def area_of_counts(counts: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """`roc_auc` of a table of `score_counts`."""
     by = list(by)
     local = Window.partitionBy(*by, "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(local), F.lit(0))
-    inside = _score_counts(predictions, by).withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
-    buckets = inside.groupBy(*by, "_b").agg(
+    inside = counts.withColumn("_u", F.col("pos") * (below + F.col("neg") / 2))
+    ranges = inside.groupBy(*by, "_b").agg(
         F.sum("_u").alias("_u"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = buckets.withColumn("_u", F.col("_u") + F.col("_pos") * F.coalesce(F.sum("_neg").over(across), F.lit(0)))
+    shifted = ranges.withColumn("_u", F.col("_u") + F.col("_pos") * F.coalesce(F.sum("_neg").over(across), F.lit(0)))
     total = shifted.groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     area = F.coalesce(F.try_divide(F.col("_u"), F.col("_p").cast("double") * F.col("_n")), F.lit(float("nan")))
     return total.select(*by, area.alias("roc_auc"))
@@ -84,8 +89,12 @@ def roc_auc(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
 
 def pr_curve(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Precision and recall at every distinct score, and the end point (1, 0) without a threshold."""
+    return curve_of_counts(score_counts(predictions, by), by)
+
+
+def curve_of_counts(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """`pr_curve` of a table of `score_counts`."""
     by = list(by)
-    scores = _score_counts(predictions, by)
     buckets = scores.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     higher = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -141,8 +150,18 @@ def recall_pivot(recalls: DataFrame, models: Sequence[str]) -> DataFrame:
 
 
 def evaluate_models(predictions: DataFrame, n_bins: int = 10) -> DataFrame:
-    """All metrics, one row per model, in the published column order."""
-    table = binary_metrics(predictions).join(expected_calibration_error(predictions, n_bins=n_bins), "model")
+    """All metrics, one row per model, in the published column order; predictions are read once."""
+    return evaluate_counts(score_counts(predictions), n_bins)
+
+
+def evaluate_counts(counts: DataFrame, n_bins: int = 10) -> DataFrame:
+    """`evaluate_models` of a table of `score_counts`."""
+    rates = add_rates(counts.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+    bin_no, rows = bin_by_edges(F.col("p"), unit_interval_edges(n_bins)), F.col("pos") + F.col("neg")
+    bins = counts.groupBy("model", bin_no.alias("bin")).agg(
+        F.sum(rows).alias("n"), F.abs(F.sum(F.col("p") * rows) - F.sum("pos")).alias("gap"))
+    ece = bins.groupBy("model").agg(F.try_divide(F.sum("gap"), F.sum("n")).alias("ece"))
+    table = rates.join(area_of_counts(counts), "model").join(ece, "model")
     return table.select("model", *METRIC_COLUMNS)
 
 

@@ -17,13 +17,13 @@ from tidegate.session import stage
 def evaluate(splits: DataFrame, models: Models, config: Config = Config()) -> dict[str, DataFrame]:
     """All result tables of the test split, from one staged table of predictions."""
     scored = stage(predictions(models, part(splits, "test"), config.threshold), "predictions")
-    recalls = M.per_category_recall(scored)
+    recalls, counts = M.per_category_recall(scored), M.score_counts(scored)
     return {
-        "metrics_summary": M.evaluate_models(scored),
+        "metrics_summary": M.evaluate_counts(counts),
         "per_category_recall": M.recall_pivot(recalls, sorted(MODEL_NAMES)),
         "confusion": M.confusion_counts(scored),
         "reliability": M.reliability_curve(scored),
-        "pr_curve": M.pr_curve(scored),
+        "pr_curve": M.curve_of_counts(counts),
     }
 
 
