@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tidegate.catalog import surrogates as S
 from tidegate.catalog.registry import register
-from tidegate.functions.numbers import finite_or_zero
+from tidegate.functions.numbers import finite_or_zero, logistic
+from tidegate.models import linear as LI
 from tidegate.operators import decisions as OD
 from tidegate.operators.cleaning import quoted
+from tidegate.plans.bridge import score_flows
 from tidegate.schemas import FLOW_FEATURES
-from tidegate.session import scratch_path
+from tidegate.session import fit_input, scratch_path, stage
 from tidegate.sinks.decisions import bulk_lines
 from tidegate.sources import event_log as L
 
@@ -145,3 +147,33 @@ SELECT flow_id, round(p, 6) AS model_proba, signature, signature <> '' OR p >= 0
   CASE WHEN signature <> '' AND p >= 0.5 THEN 'suricata+ml' WHEN signature <> '' THEN 'suricata' WHEN p >= 0.5 THEN 'ml' ELSE 'none' END AS fusion_reason,
   CASE WHEN signature <> '' AND p >= 0.5 THEN 'attack_both' WHEN signature <> '' THEN 'attack_suricata_only'
        WHEN p >= 0.5 THEN 'attack_ml_only' ELSE 'benign' END AS verdict FROM s""")
+
+
+_SCORE_INPUTS = {"packets": "Total Fwd Packets", "replies": "Total Backward Packets", "ratio": "Down/Up Ratio"}
+
+
+def _signature_scorer(flows):
+    """A logistic of three flow features, fitted to whether a flow has a signature, as a scorer."""
+    def prepared(features):
+        return features.withColumns({n: F.log1p(F.abs(finite_or_zero(quoted(c)))) for n, c in _SCORE_INPUTS.items()})
+
+    inputs = list(_SCORE_INPUTS)
+    labelled = flows.withColumn("y", F.col("signature_alert").cast("int"))
+    with fit_input(prepared(OD.flow_to_features(labelled, ["y"])).select("y", *inputs), "flow-fit") as rows:
+        (weights, intercept), = LI.logistic_fits(rows, [LI.LogisticTask(inputs)])
+    return lambda features: prepared(features).withColumn("model_proba", logistic(LI.linear(inputs, [*weights, intercept])))
+
+
+def _score_flows(spark, sf):
+    """Scores of all flows by the fitted model; its intercept has no penalty, so their mean is the rate of signatures."""
+    flows = stage(joined(spark, sf), "flows")
+    scores = score_flows(flows, _signature_scorer(flows))
+    spread = (F.countDistinct(F.round("model_proba", 6)) > 1).alias("varied")
+    return scores.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("model_proba"), 6).alias("mean_p"), spread,
+        F.count_if(~F.col("model_proba").between(0, 1)).alias("outside"))
+
+
+register("score_flows", _score_flows, WITH + """
+SELECT count(*) AS n, round(avg(CASE WHEN signature <> '' THEN 1.0 ELSE 0.0 END), 6) AS mean_p, true AS varied,
+  CAST(0 AS BIGINT) AS outside FROM parsed_v""")
