@@ -10,7 +10,7 @@ from tidegate.functions.numbers import finite_or_zero, logistic
 from tidegate.models import linear as LI
 from tidegate.operators import decisions as OD
 from tidegate.operators.cleaning import quoted
-from tidegate.plans.bridge import score_flows
+from tidegate.plans.bridge import decision_batch_job, score_flows
 from tidegate.schemas import FLOW_FEATURES
 from tidegate.session import fit_input, scratch_path, stage
 from tidegate.sinks.decisions import bulk_lines
@@ -177,3 +177,17 @@ def _score_flows(spark, sf):
 register("score_flows", _score_flows, WITH + """
 SELECT count(*) AS n, round(avg(CASE WHEN signature <> '' THEN 1.0 ELSE 0.0 END), 6) AS mean_p, true AS varied,
   CAST(0 AS BIGINT) AS outside FROM parsed_v""")
+
+
+def _fitted_batch_job(spark, sf):
+    """The whole job on a landed log: fit, scan, score, join, fuse, store as CSV, read back and count."""
+    log = scratch_path(spark, "job-log")
+    S.log_lines(spark, sf).select("value").write.text(log)
+    scorer = _signature_scorer(stage(joined(spark, sf), "flows"))
+    counters = decision_batch_job(spark, log, scorer, scratch_path(spark, "job-decisions"))
+    either = F.col("flows") - 2 * F.col("fused") + F.col("alerted") + F.col("model_flagged")
+    return counters.select("flows", "alerted", (F.col("agreement") == either).alias("counters_agree"))
+
+
+register("decision_batch_fitted", _fitted_batch_job, WITH + """
+SELECT count(*) AS flows, count(*) FILTER (signature <> '') AS alerted, true AS counters_agree FROM parsed_v""")

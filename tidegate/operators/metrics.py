@@ -52,14 +52,15 @@ def scored(predictions: DataFrame) -> DataFrame:
 
 
 def score_counts(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Outcome counts per distinct score, written in score order; `_b` names the range a score lies in.
+    """Classes, and with yhat outcomes, per distinct score, in score order; `_b` names the range a score lies in.
 
     A range is one written file of at most RANGE_SCORES scores, so ranges grow in number and not in size.
     Running sums are taken per range and joined by the totals of the ranges before it.
     """
     by = list(by)
+    outcomes = count_columns() if "yhat" in predictions.columns else []
     counts = scored(predictions).groupBy(*by, "p").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), *count_columns())
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), *outcomes)
     path = scratch_path(predictions.sparkSession, "scores")
     ordered = counts.repartitionByRange(*by, "p").sortWithinPartitions(*by, "p")
     ordered.write.option("maxRecordsPerFile", RANGE_SCORES).parquet(path)
