@@ -104,6 +104,12 @@ def test_quantiles_are_exact(spark, direct_rows, by):
         assert got[key][1] == pytest.approx(q, rel=1e-12, abs=1e-12), key
 
 
+def test_quantiles_at_the_ends(spark):
+    df = spark.createDataFrame([(float(v),) for v in (4, 1, 9, 9)], "v double")
+    row, = column_quantiles(df, ["v"], [0.0, 0.001, 1.0]).collect()
+    assert (row.n, row.q) == (4, pytest.approx([1.0, 1.009, 9.0]))
+
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "group string, v double")
     assert column_quantiles(empty, ["v"], [0.5]).count() == 0
