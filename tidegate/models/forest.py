@@ -1,37 +1,293 @@
-"""Random forest with balanced class weights."""
+"""Random forest with balanced class weights, grown and stored by tasks.
+
+Each tree takes every training row as often as a seeded Poisson count of its key says. Nodes of more than
+`SUBTREE_ROWS` rows are split by counts per feature and byte, summed over all tasks; below, the rows of one node meet in
+one task, which grows the rest. Trees are written to the shared checkpoint folder by the tasks that grew them, and scored
+by tasks that read a file of trees at a time: the driver holds only cuts of features and splits of large nodes.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegate.models.linear import balanced_weight, class_counts
+from tidegate.functions.hashing import row_hash
+from tidegate.models import trees as T
+from tidegate.models.linear import class_counts, class_weights
 from tidegate.operators.metrics import add_rates, confusion_counts
 from tidegate.operators.sampling import stratified_folds, subsample_rows
-from tidegate.session import fit_input
+from tidegate.session import fit_input, scratch_path
 
 MAX_DEPTH = 30
+#: Rows of one node that one task may grow on: one byte a feature each.
+SUBTREE_ROWS = 100_000
+ROWS_PER_TASK = 10_000
+#: Rows binned or scored at once.
+CHUNK = 50_000
+#: Accuracy of the quantiles that become cuts.
+CUT_ACCURACY = 4_000
+MOST_FILES = 200
+ROWS = "key long, y int, bytes binary"
+NODES = "tree int, root long, feature binary, cut binary, left binary, share binary"
+BEST = "tree int, node long, feature int, cut int, sides array<array<long>>"
+KINDS = {"feature": np.int16, "cut": np.uint8, "left": np.int32, "share": np.float32}
+
+
+@dataclass(frozen=True)
+class RandomForest:
+    """Folder of node arrays, cuts per feature, and by tree the splits and the leaves (shares) above the stored nodes."""
+
+    path: str
+    trees: int
+    cuts: list[np.ndarray]
+    splits: dict[int, dict[int, tuple[int, int]]] = field(default_factory=dict)
+    leaves: dict[int, dict[int, float]] = field(default_factory=dict)
+
+    def score(self, vector: str = "features") -> Column:
+        """Mean share of class 1 over the trees; narrow, so it also runs on streams."""
+        forest = self
+
+        @F.pandas_udf("double")
+        def mean_share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            held, size = [], 0
+            for batch in batches:
+                if len(batch):
+                    held.append(to_bytes(np.stack(batch.to_numpy()), forest.cuts))
+                    size += len(batch)
+                if size >= CHUNK:
+                    yield pd.Series(forest.mean_shares(np.concatenate(held)))
+                    held, size = [], 0
+            if size:
+                yield pd.Series(forest.mean_shares(np.concatenate(held)))
+
+        return mean_share(vector_to_array(F.col(vector)))
+
+    def mean_shares(self, rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(rows))
+        for tree, splits in self.splits.items():
+            at = T.route(rows, splits)
+            for node, share in self.leaves.get(tree, {}).items():
+                total[at == node] += share
+        for tree, root, nodes in stored_nodes(self.path):
+            if tree in self.splits:
+                here = np.flatnonzero(T.route(rows, self.splits[tree]) == root)
+                total[here] += T.shares(rows[here], nodes)
+            else:
+                total += T.shares(rows, nodes)
+        return total / self.trees
+
+
+def stored_nodes(path: str) -> Iterator[tuple[int, int, tuple]]:
+    """tree, root and node arrays of every stored part, file by file."""
+    store, place = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and path[5:7] != "//" else path)
+    names = sorted(f.path for f in store.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
+    for name in names:
+        with store.open_input_file(name) as file:
+            for part in pq.read_table(file).sort_by([("tree", "ascending"), ("root", "ascending")]).to_pylist():
+                yield part["tree"], part["root"], tuple(np.frombuffer(part[c], kind) for c, kind in KINDS.items())
+
+
+def to_bytes(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """One byte per feature: how many of its cuts are below the value."""
+    return np.stack([np.searchsorted(c, values[:, i]).astype(np.uint8) for i, c in enumerate(cuts)], axis=1)
+
+
+def feature_cuts(rows: DataFrame, vector: str = "_x") -> list[np.ndarray]:
+    """Up to 255 cuts per feature, at its quantiles; none above the largest value."""
+    width = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    steps = ", ".join(f"{i / (T.BINS - 1)!r}D" for i in range(T.BINS))
+    cells = ", ".join(f"percentile_approx({vector}[{i}], array({steps}), {CUT_ACCURACY})" for i in range(width))
+    found = rows.agg(F.expr(f"array({cells})").alias("q")).first().q if width else []
+    return [np.unique(np.array(q, float))[:-1][:T.BINS - 1] for q in found]
+
+
+def _binned(cuts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                rows = [r.tobytes() for r in to_bytes(values, cuts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), batch.column("y"), pa.array(rows, pa.binary())], ["key", "y", "bytes"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, size: int = CHUNK):
+    """Keys, classes and bytes of a task's rows, `size` or a few more at a time."""
+    held, count = [], 0
 
+    def joined():
+        table = pa.Table.from_batches(held)
+        rows = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, width)
+        return table.column("key").to_numpy(), table.column("y").to_numpy().astype(np.uint8), rows
 
-def fit_random_forest(train: DataFrame, trees: int = 400, depth: int = 30, seed: int = 42) -> RandomForestClassificationModel:
-    """Expects features, y. Weights are balanced over the whole training set."""
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= size:
+            yield joined()
+            held, count = [], 0
+    if count:
+        yield joined()
+
+
+def _large_nodes(rows: DataFrame, wanted: dict, splits: dict, width: int, tried: int, weights, seed: int) -> list:
+    """Best split of each wanted (tree, node): features number `wanted` * tried and on of its order are looked at."""
+    by_tree = defaultdict(list)
+    for tree, node in wanted:
+        by_tree[tree].append(node)
+
+    def features(tree: int, node: int) -> np.ndarray:
+        first = wanted[tree, node] * tried
+        return T.feature_order(seed, tree, node << 6, 1, width)[0][first : first + tried]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for keys, y, table in _chunks(batches, width):
+            for tree, nodes in by_tree.items():
+                times, at = T.bootstrap(keys, tree), T.route(table, splits.get(tree, {}))
+                for node in nodes:
+                    here = np.flatnonzero((at == node) & (times > 0))
+                    counts = sums.setdefault((tree, node), np.zeros((len(features(tree, node)), T.BINS, 3), np.int64))
+                    for place, f in enumerate(features(tree, node)):
+                        cell = table[here, f].astype(np.int64) * 2 + y[here]
+                        counts[place, :, :2] += np.bincount(cell, times[here], 2 * T.BINS).astype(np.int64).reshape(-1, 2)
+                        counts[place, :, 2] += np.bincount(table[here, f], minlength=T.BINS)
+        for (tree, node), counts in sums.items():
+            yield pa.RecordBatch.from_pydict({"tree": pa.array([tree], pa.int32()), "node": [node], "counts": [counts.tobytes()]})
+
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(c, np.int64).reshape(-1, T.BINS, 3) for c in pdf["counts"])
+        found, top = (-1, 0, [counts[0].sum(axis=0).tolist()]), -1.0
+        for f, cells in zip(features(int(key[0]), int(key[1])), counts, strict=True):
+            used = np.flatnonzero(cells[:, 2])
+            below = np.cumsum(cells[used], axis=0)
+            low, high = below[:-1], below[-1] - below[:-1]
+            if len(low):
+                value = T.purity(low[:, 0], low[:, 1], weights) + T.purity(high[:, 0], high[:, 1], weights)
+                i = int(np.argmax(value))
+                if value[i] > top:
+                    found, top = (int(f), int(used[i] + used[i + 1] - 1) // 2, [low[i].tolist(), high[i].tolist()]), value[i]
+        return pd.DataFrame([(key[0], key[1], *found)], columns=["tree", "node", "feature", "cut", "sides"])
+
+    counted = rows.mapInArrow(count, "tree int, node long, counts binary")
+    return counted.groupBy("tree", "node").applyInPandas(best, BEST).collect()
+
+
+def _upper_splits(rows: DataFrame, trees: int, depth: int, width: int, tried: int, weights, seed: int, most: int):
+    """Splits and leaves of each tree above nodes of at most `most` rows."""
+    splits, leaves = defaultdict(dict), defaultdict(dict)
+    wanted = {(tree, 1): 0 for tree in range(trees)}
+    while wanted:
+        following = {}
+        for r in _large_nodes(rows, wanted, splits, width, tried, weights, seed):
+            if r.feature < 0:
+                again = wanted[r.tree, r.node] + 1
+                if again * tried < width:
+                    following[r.tree, r.node] = again
+                else:
+                    leaves[r.tree][r.node] = _share(r.sides[0], weights)
+                continue
+            splits[r.tree][r.node] = (r.feature, r.cut)
+            for child, side in zip((2 * r.node, 2 * r.node + 1), r.sides, strict=True):
+                if side[0] == 0 or side[1] == 0 or child.bit_length() > depth:
+                    leaves[r.tree][child] = _share(side, weights)
+                elif side[2] > most:
+                    following[r.tree, child] = 0
+        wanted = following
+    # a root that cannot be split
+    for tree in [t for t in leaves if t not in splits]:
+        splits[tree] = {}
+    return dict(splits), dict(leaves)
+
+
+def _share(side, weights) -> float:
+    return weights[1] * side[1] / (weights[0] * side[0] + weights[1] * side[1])
+
+
+def _dealt(trees: int, splits: dict, leaves: dict, width: int):
+    """Blocks of (key of a part, classes, counts, bytes) that the task which grows a part reads."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, y, table in _chunks(batches, width):
+            for tree in range(trees):
+                times = T.bootstrap(keys, tree)
+                at = np.where(times > 0, T.route(table, splits.get(tree, {})), 0)
+                for root in np.unique(at[at > 0]).tolist():
+                    if root not in leaves.get(tree, {}):
+                        here = np.flatnonzero(at == root)
+                        yield pa.RecordBatch.from_pydict({
+                            "tree": pa.array([tree], pa.int32()), "root": [root], "y": [y[here].tobytes()],
+                            "times": [times[here].tobytes()], "bytes": [table[here].tobytes()]})
+
+    return run
+
+
+def fit_random_forest(
+    train: DataFrame, trees: int = 400, depth: int = 30, seed: int = 42, subtree_rows: int = SUBTREE_ROWS
+) -> RandomForest:
+    """Expects features, y. Weights are balanced over the whole training set; row_id, if there, names a row."""
+    spark, depth = train.sparkSession, min(depth, MAX_DEPTH)
     n0, n1 = class_counts(train)
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="y", weightCol="w", numTrees=trees, maxDepth=min(depth, MAX_DEPTH),
-        impurity="gini", featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=seed, maxMemoryInMB=512,
-        cacheNodeIds=True,
-    )
-    return forest.fit(train.withColumn("w", balanced_weight(n0, n1)))
+    weights = class_weights(n0, n1)
+    identity = "row_id" if "row_id" in train.columns else F.monotonically_increasing_id()
+    named = train.select(row_hash(seed, [identity]).alias("key"), F.col("y").cast("int").alias("y"),
+                         vector_to_array("features").alias("_x"))
+    with fit_input(named.repartition(max(1, math.ceil((n0 + n1) / ROWS_PER_TASK))), "forest-rows") as values:
+        cuts = feature_cuts(values)
+        with fit_input(values.mapInArrow(_binned(cuts), ROWS), "forest-bytes") as rows:
+            width = len(cuts)
+            tried, splits, leaves = math.ceil(math.sqrt(width)), {}, {}
+            if n0 + n1 > subtree_rows and n0 and n1 and depth:
+                splits, leaves = _upper_splits(rows, trees, depth, width, tried, weights, seed, subtree_rows)
+
+            def grown(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+                tree, root = int(key[0]), int(key[1])
+                y, times, table = (np.frombuffer(b"".join(pdf[c]), np.uint8) for c in ("y", "times", "bytes"))
+                nodes = T.grow(table.reshape(len(y), -1), y, times, weights, depth - root.bit_length() + 1, tried, seed, tree, root)
+                return pd.DataFrame([(tree, root, *(a.tobytes() for a in nodes))], columns=["tree", "root", *KINDS])
+
+            blocks = rows.mapInArrow(_dealt(trees, splits, leaves, width), "tree int, root long, y binary, times binary, bytes binary")
+            path = scratch_path(spark, "forest")
+            blocks.repartition(min(trees, MOST_FILES), "tree").groupBy("tree", "root").applyInPandas(grown, NODES).write.parquet(path)
+    return RandomForest(path, trees, cuts, splits, leaves)
+
+
+def save_random_forest(model: RandomForest, spark: SparkSession, path: str) -> None:
+    """Folders nodes and info."""
+    stored = spark.read.parquet(model.path)
+    stored.repartition(min(model.trees, MOST_FILES), "tree").write.mode("overwrite").parquet(f"{path}/nodes")
+    upper = [(t, n, f, c, None) for t, found in model.splits.items() for n, (f, c) in found.items()]
+    upper += [(t, n, None, None, s) for t, found in model.leaves.items() for n, s in found.items()]
+    spark.createDataFrame(
+        [(model.trees, [c.tolist() for c in model.cuts], upper)],
+        "trees int, cuts array<array<double>>, upper array<struct<tree:int,node:long,feature:int,cut:int,share:double>>",
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/info")
 
 
-def attack_probability(column: str = "probability") -> Column:
-    return vector_to_array(F.col(column))[1]
+def load_random_forest(spark: SparkSession, path: str) -> RandomForest:
+    info = spark.read.parquet(f"{path}/info").first()
+    splits, leaves = defaultdict(dict), defaultdict(dict)
+    for r in info.upper:
+        splits[r.tree] |= {r.node: (r.feature, r.cut)} if r.feature is not None else {}
+        if r.feature is None:
+            leaves[r.tree][r.node] = r.share
+    return RandomForest(f"{path}/nodes", info.trees, [np.array(c) for c in info.cuts], dict(splits), dict(leaves))
 
 
-def score_forest(model: RandomForestClassificationModel, df: DataFrame, output: str = "p") -> DataFrame:
-    scored = model.transform(df)
-    return scored.withColumn(output, attack_probability()).drop("rawPrediction", "probability", "prediction")
+def score_forest(model: RandomForest, df: DataFrame, output: str = "p") -> DataFrame:
+    return df.withColumn(output, model.score())
 
 
 def fold_macro_f1(predictions: DataFrame) -> float:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, functions as F
 
 from tidegate.config import Config
 from tidegate.functions.numbers import logistic
-from tidegate.models.forest import fit_random_forest, fold_macro_f1, forest_cv_score, score_forest
+from tidegate.models.forest import RandomForest, fit_random_forest, fold_macro_f1, forest_cv_score, score_forest
 from tidegate.models.linear import LogisticTask, linear, logistic_fits
 from tidegate.models.oneclass import OneClassSvm, fit_one_class, search_detector
 from tidegate.operators.sampling import stratified_folds, subsample_rows
@@ -21,7 +20,7 @@ STACK_INPUTS = ["p_supervised", "p_anomaly"]
 
 @dataclass(frozen=True)
 class StackedDetector:
-    supervised: RandomForestClassificationModel
+    supervised: RandomForest
     anomaly: OneClassSvm
     meta_weights: list[float]
     meta_intercept: float

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.config import Config
 from tidegate.functions.decision import at_least
 from tidegate.models.features import FeaturePipeline
+from tidegate.models.forest import load_random_forest, save_random_forest
 from tidegate.models.isolation import IsolationForest, fit_isolation_forest, load_forest, save_forest, scale_scores
 from tidegate.models.linear import CalibratedSvc, fit_linear_svc
 from tidegate.models.oneclass import OneClassSvm
@@ -72,7 +72,7 @@ def scorer(pipeline: FeaturePipeline, stack: StackedDetector):
 def save_models(models: Models, spark: SparkSession, path: str) -> None:
     """Folders forest, isolation, stack, svc and, for a detector calibrated so, isotonic."""
     stack = models.stack
-    stack.supervised.write().overwrite().save(f"{path}/forest")
+    save_random_forest(stack.supervised, spark, f"{path}/forest")
     save_forest(models.isolation, spark, f"{path}/isolation")
     anomaly = stack.anomaly
     if anomaly.isotonic is not None:
@@ -92,7 +92,7 @@ def load_models(spark: SparkSession, path: str) -> Models:
     s = spark.read.parquet(f"{path}/stack").first()
     isotonic = IsotonicRegressionModel.load(f"{path}/isotonic") if s.method == "isotonic" else None
     anomaly = OneClassSvm(s.nu, list(s.weights), s.rho, s.method, s.slope, s.intercept, isotonic)
-    stack = StackedDetector(RandomForestClassificationModel.load(f"{path}/forest"), anomaly,
+    stack = StackedDetector(load_random_forest(spark, f"{path}/forest"), anomaly,
                             list(s.meta_weights), s.meta_intercept, dict(s.params))
     members = [(list(r.weights), r.bias, r.slope, r.intercept) for r in spark.read.parquet(f"{path}/svc").collect()]
     return Models(CalibratedSvc(members), load_forest(spark, f"{path}/isolation"), stack)
