@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidegate.catalog import models as CM
@@ -21,6 +23,7 @@ from tidegate.sources.flow_csv import discover, headers, load_raw
 from tidegate.sources.tables import read_decisions_csv, read_ground_truth
 from tidegate.streaming.live import run_available
 
+PARTS, ROWS_PER_FILE = 16, 100_000
 DW = "WITH " + S.DECISIONS_SQL + " "
 
 
@@ -40,14 +43,16 @@ SELECT CAST(k AS DOUBLE) AS flow_no, qty, rate, CASE WHEN k % 2 = 0 THEN tax END
 
 
 def _scan_flow_csv(spark, sf):
-    """The files of a folder tree and their header lines; every second part has other columns."""
-    path = scratch_path(spark, "flow-files")
-    raw = S.dirty(spark, sf).withColumn("part", F.pmod(F.col("Flow ID"), F.lit(16))).repartition(16, "part")
+    """The folders of a tree and the header lines of their files; every second part has other columns."""
+    path, raw = scratch_path(spark, "flow-files"), S.dirty(spark, sf)
+    shares = max(1, math.ceil(raw.count() / (PARTS * ROWS_PER_FILE)))
+    raw = raw.withColumn("part", F.pmod(F.col("Flow ID"), F.lit(PARTS)))
+    raw = raw.repartition(PARTS * shares, "part", F.pmod(F.xxhash64("Flow ID"), F.lit(shares)))
     odd = F.col("part") % 2 == 1
     for name, rows in (("a", raw.filter(odd)), ("b", raw.filter(~odd).drop("tax"))):
         rows.write.partitionBy("part").option("header", True).csv(f"{path}/{name}")
     files = headers(discover(spark, path)).select(F.col("line").cast("string").alias("header"), F.explode("paths").alias("path"))
-    return files.select("header", F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"))
+    return files.select("header", F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")).distinct()
 
 
 register("scan_flow_csv", _scan_flow_csv, """
