@@ -57,3 +57,14 @@ def test_flow_files_are_cut_by_rows(spark, monkeypatch):
     cut = [tuple(r) for r in io._scan_flow_csv(spark, SF).collect()]
     assert set(cut) == whole and len(cut) == len(whole) == 16
     assert real(spark, paths[0]).count() > 64
+
+
+def test_few_rows_of_a_large_frame_are_found_by_many_tasks(spark, tmp_path):
+    """The filter runs before the rows are brought together: a coalesce to one file would run it in one task."""
+    task = F.udf(lambda i: __import__("pyspark").TaskContext.get().partitionId(), "int")
+    rows = spark.range(0, 1000, 1, 8).filter("id % 100 = 0").select("id", task("id").alias("task"))
+    table = batch_log.Table("few", rows.schema)
+    log = batch_log.BatchLog(spark, str(tmp_path))
+    log.write(0, [(table, (rows, 10))])
+    assert len({r.task for r in log.read(table).collect()}) > 4
+    assert len(glob.glob(f"{tmp_path}/few/*/part-*")) == 1
