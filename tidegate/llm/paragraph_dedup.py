@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from tidegate.llm.passages import Grams, mark, repeated_passages
 from tidegate.llm.similarity import (
-    PRINTS, Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shared_tokens, shingle_sets)
+    PAIRS_AT_ONCE, PRINTS, Sets, Threshold, bitmap, fingerprints, linked_components, set_hashes, shared_tokens, shingle_sets)
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import BYTES, NOT_ALNUM, WHITE, Words, mixed, slices
 
@@ -28,11 +28,15 @@ WIDTH = 5
 #: Sentences are joined to blocks of so many words or more.
 BLOCK = 50
 STOP, LINE_END = np.isin(BYTES, list(b".!?")), np.isin(BYTES, [10])
+#: What is neither of a word nor a line end.
+GAPS = bytes(np.flatnonzero(NOT_ALNUM & ~LINE_END).astype(np.uint8))
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
 MAX_BANDS = 8
 #: Rounds in which a list of candidates meets one of them only, before all pairs of what is left are looked at.
 HUB_ROUNDS = 3
+#: Sets of so few members have their fingerprints for bitmaps.
+PRINTED = 256
 #: Paragraphs of so many words are compared, and runs of so many words go.
 MIN_WORDS = 20
 
@@ -167,6 +171,14 @@ def _listed(width: int, least: int, bands: int, rows: int):
     return run
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, bits from the words of a fingerprint, which are a bitmap of 256 bits (see `similarity.bitmap`)."""
+    for batch in batches:
+        words = np.stack([batch.column(2 + k).to_numpy() for k in range(len(PRINTS))], axis=1).astype("<i8")
+        bits = pa.Array.from_buffers(pa.binary(8 * len(PRINTS)), len(words), [None, pa.py_buffer(words.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits.cast(pa.binary())], ["node", "n", "bits"])
+
+
 def _sets(width: int, least: int, outline: bool):
     """Of the wanted nodes of each text: node, n, bits; or node, shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,24 +207,34 @@ CUT = ("n_paragraphs long, n_removed_paragraphs long, n_bytes long, n_removed lo
        "spans array<struct<start:long,stop:long>>, kept string")
 
 
+def _lines(text: bytes) -> int:
+    """Lines with a word."""
+    return sum(map(bool, text.translate(None, GAPS).split(b"\n")))
+
+
 def _cut(width: int, min_words: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marked, places = (batch.column(carried + k).to_pylist() for k in range(3))
-            out: list[list] = [[] for _ in range(6)]
-            for a, b in slices(texts):
-                found = Paragraphs(texts[a:b], width, min_words)
+            rows: list = [None] * len(texts)
+            touched = [i for i in range(len(texts)) if marked[i] or places[i]]
+            for i in set(range(len(texts))).difference(touched):  # texts of which nothing goes
+                whole = texts[i].encode()
+                rows[i] = _lines(whole), 0, len(whole), 0, [], texts[i]
+            for a, b in slices([texts[i] for i in touched]):
+                chosen_texts = touched[a:b]
+                found = Paragraphs([texts[i] for i in chosen_texts], width, min_words)
                 grams = Grams(found.words)
                 covered = np.zeros(len(found.words.hashes), bool)
-                for i in range(b - a):
+                for i, row in enumerate(chosen_texts):
                     starts, size = found.bytes_of(i)
                     low, high = int(found.words.bounds[i]), int(found.words.bounds[i + 1])
                     own = slice(found.first[i], found.first[i + 1])
-                    chosen = np.array(marked[a + i] or [], np.int64)
+                    chosen = np.array(marked[row] or [], np.int64)
                     chosen = found.first[i] + chosen[chosen < own.stop - own.start]
                     for x, y in zip(found.starts[chosen].tolist(), found.stops[chosen].tolist(), strict=True):
                         covered[x:y] = True
-                    mark(covered, grams, low, high, places[a + i] or [])
+                    mark(covered, grams, low, high, places[row] or [])
                     turns = np.flatnonzero(np.diff(covered[low:high], prepend=False, append=False)).reshape(-1, 2)
                     turns = turns[turns[:, 1] - turns[:, 0] >= min_words]
                     ends = np.append(starts, size)
@@ -222,16 +244,16 @@ def _cut(width: int, min_words: int, carried: int):
                         gone[x + 1: y + 1] = 1
                     gone = np.cumsum(gone)
                     removed = gone[found.stops[own] - low] - gone[found.starts[own] - low] == found.sizes[own]
-                    whole = texts[a + i].encode()
+                    whole = texts[row].encode()
                     kept, at = [], 0
                     for x, y in spans:
                         kept.append(whole[at:x])
                         at = y
                     kept.append(whole[at:])
-                    for column, value in zip(out, (
-                            int(found.line[own].sum()), int((removed & found.line[own]).sum()), size, sum(y - x for x, y in spans),
-                            [{"start": x, "stop": y} for x, y in spans], b"".join(kept).decode()), strict=True):
-                        column.append(value)
+                    rows[row] = (
+                        int(found.line[own].sum()), int((removed & found.line[own]).sum()), size, sum(y - x for x, y in spans),
+                        [{"start": x, "stop": y} for x, y in spans], b"".join(kept).decode())
+            out = list(zip(*rows, strict=True)) or [()] * 6
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             kinds = [pa.int64()] * 4 + [span, pa.string()]
             names = ["n_paragraphs", "n_removed_paragraphs", "n_bytes", "n_removed", "spans", "kept"]
@@ -262,7 +284,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     posted = large.select(F.explode(F.array(*keys)).alias("token"), F.col("node").alias("gid"), "n", *PRINTS)
     shared = Stage(shared_tokens(posted), "shared")
     needed = shared.read().select(F.col("gid").alias("node")).distinct()
-    holders = Stage(nodes.read().select("node", "doc").join(needed, "node"), "holders")
+    holders = Stage(nodes.read().select("node", "doc", "n", *PRINTS).join(needed, "node"), "holders")
     nodes.drop()
 
     def sets(nodes: DataFrame, outline: bool, schema: str) -> DataFrame:
@@ -270,11 +292,15 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
         return rows.join(wanted, "doc").select("body", "wanted").mapInArrow(_sets(width, min_words, outline), schema)
 
     # the sets themselves are made again from the texts when asked for; kept, they would be larger than the texts
-    outlines = Stage(sets(holders.read(), True, "node long, n long, bits binary").dropDuplicates(["node"]), "outlines")
+    kinds = "node long, n long, bits binary"
+    printed = holders.read().filter(F.col("n") <= PRINTED).select("node", F.col("n").cast("long"), *PRINTS).mapInArrow(_printed, kinds)
+    wide = sets(holders.read().filter(F.col("n") > PRINTED), True, kinds).dropDuplicates(["node"])
+    outlines = Stage(printed.unionByName(wide), "outlines")
     known = Sets(outlines.read(), lambda nodes: sets(
         holders.read().join(nodes, "node"), False, "node long, shingles binary").dropDuplicates(["node"]))
     none = shared.read().filter("false").select(F.col("gid").alias("node"), "gid")
-    found = linked_components(none, shared.read(), known, threshold, positions=False, hub_rounds=HUB_ROUNDS)
+    found = linked_components(none, shared.read(), known, threshold, positions=False, hub_rounds=HUB_ROUNDS,
+                              at_once=PAIRS_AT_ONCE)
     labelled = listed.read().select("doc", "index", "node").join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")

@@ -20,6 +20,8 @@ from tidegate.llm.staging import Stage
 from tidegate.llm.words import Words, mixed
 
 HUB_ROUNDS = 2
+#: Pairs a posting that may be looked at without hubs.
+PAIRS_AT_ONCE = 16
 PRINTS = ("print0", "print1", "print2", "print3")
 
 
@@ -103,8 +105,8 @@ def bitmap(values: np.ndarray) -> bytes:
     bits = 512
     while bits < min(len(values), 1 << 15):
         bits *= 2
-    return np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(
-        np.uint8).tobytes()
+    return np.packbits(np.bincount((values % np.uint64(bits)).astype(np.int64), minlength=bits) & 1,
+                       bitorder="little").tobytes()
 
 
 def fingerprints(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -179,20 +181,34 @@ def verified(pairs: DataFrame, sets: Sets, threshold: Threshold) -> DataFrame:
 
 
 def shared_tokens(postings: DataFrame) -> DataFrame:
-    """Postings (token, gid, n, pos) of tokens that two groups or more have."""
-    common = postings.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).filter("low < high")
-    return postings.join(common.select("token"), "token")
+    """Postings (token, gid, n, pos) of tokens that two groups or more have, and how many have the token (among)."""
+    common = postings.groupBy("token").agg(
+        F.min("gid").alias("low"), F.max("gid").alias("high"), F.count(F.lit(1)).alias("among")).filter("low < high")
+    return postings.join(common.select("token", "among"), "token")
 
 
 def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshold: Threshold,
-                      positions: bool, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+                      positions: bool, hub_rounds: int = HUB_ROUNDS, at_once: int = 0) -> DataFrame:
     """(node, component) of all nodes that are similar to another one.
 
     `groups`: (node, gid) of the nodes of groups of several; `shared`: postings of common tokens, with fingerprints of
     the sets (columns PRINTS) if groups are single nodes. With `positions`, tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
+    With `at_once`, groups must be single nodes: the shortest lists, with up to `at_once` pairs a posting of all lists
+    together, have all their pairs looked at first, and the rounds see longer lists only.
     """
     inside = groups.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
     found = None
+    if at_once:
+        few, longer = _few(shared, at_once)
+        short = shared.filter(F.col("among") <= few)
+        left, right = short.alias("l"), short.alias("r")
+        pairs = Stage(left.join(right, _may_link(short, threshold, positions)).select(
+            F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct(), "pairs")
+        found = Stage(connected_components(verified(pairs.read(), sets, threshold)), "components").read()
+        pairs.drop()
+        if not longer:
+            return found
+        shared = shared.filter(F.col("among") > few)
     for round_ in range(hub_rounds + 1):
         now, members = _labelled(groups, shared, found)
         if round_ == hub_rounds:
@@ -229,6 +245,19 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
     return found
 
 
+def _few(shared: DataFrame, at_once: int) -> tuple[int, bool]:
+    """The length (a power of two) up to which lists together make at most `at_once` pairs a posting; whether some are longer."""
+    lengths = shared.groupBy(F.ceil(F.log2("among")).cast("int").alias("power")).agg(
+        F.count(F.lit(1)).alias("postings"), F.sum((F.col("among") - 1) / 2).alias("pairs")).orderBy("power").collect()
+    few, pairs, most = 0, 0, at_once * sum(r.postings for r in lengths)
+    for r in lengths:
+        pairs += r.pairs
+        if pairs > most:
+            return few, True
+        few = 1 << r.power
+    return few, False
+
+
 def _labelled(groups: DataFrame, shared: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Postings with the smallest and largest component of the group (label, high), and nodes with their label."""
     if found is None:
@@ -244,18 +273,24 @@ def _labelled(groups: DataFrame, shared: DataFrame, found: DataFrame | None) ->
     return Stage(now.join(open_.select("token"), "token"), "open").read(), members
 
 
-def _all_pairs(now: DataFrame, members: DataFrame, threshold: Threshold, positions: bool) -> DataFrame:
-    """All pairs of nodes in different components whose groups share a token or are the same."""
-    left, right = now.alias("l"), now.alias("r")
-    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & ~(
-        (F.col("l.label") == F.col("r.high")) & (F.col("l.high") == F.col("r.label")))
+def _may_link(postings: DataFrame, threshold: Threshold, positions: bool) -> Column:
+    """Whether two postings l and r of a token, the smaller group first, can be of similar sets."""
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid"))
     same &= threshold.sizes_allow(F.col("l.n"), F.col("r.n"))
-    if set(PRINTS) <= set(now.columns):
+    if set(PRINTS) <= set(postings.columns):
         same &= threshold.prints_allow("l", "r", F.col("l.n"), F.col("r.n"))
     if positions:
         rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
         total = F.col("l.n") + F.col("r.n")
         same &= rest * (threshold.whole + threshold.part) >= total * threshold.part
+    return same
+
+
+def _all_pairs(now: DataFrame, members: DataFrame, threshold: Threshold, positions: bool) -> DataFrame:
+    """All pairs of nodes in different components whose groups share a token or are the same."""
+    left, right = now.alias("l"), now.alias("r")
+    same = _may_link(now, threshold, positions) & ~(
+        (F.col("l.label") == F.col("r.high")) & (F.col("l.high") == F.col("r.label")))
     pairs = left.join(right, same).select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h")).distinct()
     # groups of one node stand for themselves
     nodes = members.select("gid", "node", "label")
