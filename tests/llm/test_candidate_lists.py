@@ -33,6 +33,15 @@ def test_lists_of_all_lengths_give_the_same_components(spark, monkeypatch):
     assert not set(marked[0]) & {*range(0, 24, 2), *range(24, 39, 3), 39}
 
 
+def test_long_lists_meet_hubs_however_many_short_ones_there_are(spark, monkeypatch):
+    frame, looked_at = clusters(spark, [2] * 200 + [100]), []
+    verified = similarity.verified
+    monkeypatch.setattr(similarity, "verified", lambda pairs, *a: looked_at.append(pairs.count()) or verified(pairs, *a))
+    marked = {r.doc for r in paragraph_dedup.repeated_paragraphs(frame).collect()}
+    assert sum(looked_at) < 200 + 15 * 100 < 100 * 99 / 2
+    assert len(marked & set(range(401, 500))) >= 97 and not marked & {*range(0, 400, 2), 400}
+
+
 def test_few_follows_the_number_of_pairs(spark):
     lists = [2] * 10 + [5] * 4 + [100]
     rows = [(t, n) for t, n in enumerate(lists) for _ in range(n)]

@@ -11,7 +11,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b); a component is named by its smallest node.
 
     Rounds of large-star and small-star steps: every node hangs its larger neighbours, then its smaller ones, on the
-    smallest node it sees. Each step is an aggregate with map-side minima and a join, never a list of neighbours; the
+    smallest node it sees. Each step is a minimum by node and a join, never a list of neighbours; the
     edges of a round are written before the next, until they stay the same.
     """
     clean = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
@@ -39,13 +39,16 @@ def _print_of(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter(
-        "u > v").distinct()
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("end")
+    both = edges.select(ends).select("end.*")
+    # merge: a broadcast of the minima would be one more job a step
+    least = both.groupBy("u").agg(F.min("v").alias("m")).hint("merge")
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    dealt = edges.repartition("u")  # once, for the minimum and for the join
+    least = dealt.groupBy("u").agg(F.min("v").alias("m")).hint("merge")
+    own, moved = F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+    both = F.explode(F.when(F.col("v") > F.col("m"), F.array(own, moved)).otherwise(F.array(own))).alias("edge")
+    return dealt.join(least, "u").select(both).select("edge.*").distinct()

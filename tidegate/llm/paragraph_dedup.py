@@ -33,8 +33,8 @@ GAPS = bytes(np.flatnonzero(NOT_ALNUM & ~LINE_END).astype(np.uint8))
 JACCARD = Threshold(80, 100)
 RECALL = 0.998
 MAX_BANDS = 8
-#: Rounds in which a list of candidates meets one of them only, before all pairs of what is left are looked at.
-HUB_ROUNDS = 3
+#: Candidates that all of a long list meet, before all pairs of what is left are looked at.
+HUBS = 3
 #: Sets of so few members have their fingerprints for bitmaps.
 PRINTED = 256
 #: Paragraphs of so many words are compared, and runs of so many words go.
@@ -299,7 +299,7 @@ def repeated_paragraphs(docs: DataFrame, width: int = WIDTH, threshold: Threshol
     known = Sets(outlines.read(), lambda nodes: sets(
         holders.read().join(nodes, "node"), False, "node long, shingles binary").dropDuplicates(["node"]))
     none = shared.read().filter("false").select(F.col("gid").alias("node"), "gid")
-    found = linked_components(none, shared.read(), known, threshold, positions=False, hub_rounds=HUB_ROUNDS,
+    found = linked_components(none, shared.read(), known, threshold, positions=False, hubs=HUBS,
                               at_once=PAIRS_AT_ONCE)
     labelled = listed.read().select("doc", "index", "node").join(found, "node", "left").select(
         "doc", "index", F.coalesce("component", "node").alias("label"))

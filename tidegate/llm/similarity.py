@@ -2,8 +2,8 @@
 
 A node is a class of equal shingle sets. Nodes with the same tokens and size form a group, named by its smallest
 node. Candidates are groups that share a token. All pairs of a long list of groups are never formed at first: every
-group is paired with one hub of each of its lists, links found are contracted to components, and only pairs that lie
-in different components are looked at again. The last round looks at all of these, so no link is lost.
+group is paired with a few hubs of each of its lists, links found are contracted to components, and a last look is at
+all pairs that lie in different components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from tidegate.llm.components import connected_components
 from tidegate.llm.staging import Stage
 from tidegate.llm.words import Words, mixed
 
-HUB_ROUNDS = 2
-#: Pairs a posting that may be looked at without hubs.
+HUBS = 2
+#: Pairs a posting that may be looked at without hubs, and the longest list of which all pairs are: a bound that does not
+#: grow with the tables, whose lists do.
 PAIRS_AT_ONCE = 16
+SHORT = 64
 PRINTS = ("print0", "print1", "print2", "print3")
 
 
@@ -188,52 +190,35 @@ def shared_tokens(postings: DataFrame) -> DataFrame:
 
 
 def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshold: Threshold,
-                      positions: bool, hub_rounds: int = HUB_ROUNDS, at_once: int = 0) -> DataFrame:
+                      positions: bool, hubs: int = HUBS, at_once: int = 0) -> DataFrame:
     """(node, component) of all nodes that are similar to another one.
 
     `groups`: (node, gid) of the nodes of groups of several; `shared`: postings of common tokens, with fingerprints of
     the sets (columns PRINTS) if groups are single nodes. With `positions`, tokens are prefixes in a common order, and what can still match behind a token is bounded by its position.
-    With `at_once`, groups must be single nodes: the shortest lists, with up to `at_once` pairs a posting of all lists
-    together, have all their pairs looked at first, and the rounds see longer lists only.
+    With `at_once`, groups must be single nodes: the shortest lists, of up to SHORT postings and up to `at_once` pairs a
+    posting of all lists together, have all their pairs looked at; only longer ones have hubs and a last look.
     """
+    few, longer = _few(shared, at_once) if at_once else (0, True)
+    if few > SHORT:  # lengths go by powers of two: some list is longer
+        few, longer = SHORT, True
     inside = groups.filter("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
+    long_lists = shared.filter(F.col("among") > few) if few else shared
     found = None
-    if at_once:
-        few, longer = _few(shared, at_once)
-        short = shared.filter(F.col("among") <= few)
-        left, right = short.alias("l"), short.alias("r")
-        pairs = Stage(left.join(right, _may_link(short, threshold, positions)).select(
-            F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct(), "pairs")
-        found = Stage(connected_components(verified(pairs.read(), sets, threshold)), "components").read()
-        pairs.drop()
-        if not longer:
-            return found
-        shared = shared.filter(F.col("among") > few)
-    for round_ in range(hub_rounds + 1):
-        now, members = _labelled(groups, shared, found)
-        if round_ == hub_rounds:
-            pairs = _all_pairs(now, members, threshold, positions)
+    for last in (False, True) if longer else (False,):
+        if last:
+            now, members = _labelled(groups, long_lists, found)
+            pairs = _node_pairs(now, threshold, positions) if at_once else _all_pairs(now, members, threshold, positions)
         else:
-            # the ends of the order, then others by a hash: a hub that a group is not similar to would stay the same
-            end = F.max if round_ == 1 else F.min
-            turn = [] if round_ < 2 else [F.xxhash64("gid", F.lit(round_)).alias("turn")]
-            marks = [c for c in PRINTS if c in now.columns]
-            hub = now.groupBy("token").agg(end(F.struct(*turn, "label", "gid", "n", *marks)).alias("hub"))
-            pairs = now.join(hub, "token").filter(
-                (F.col("label") != F.col("hub.label")) | (F.col("high") != F.col("hub.label"))).filter(
-                threshold.sizes_allow(F.col("n"), F.col("hub.n"))).filter("gid <> hub.gid")
-            if marks:
-                pairs = pairs.withColumn("own", F.struct(*marks)).filter(threshold.prints_allow(
-                    "own", "hub", F.col("n"), F.col("hub.n")))
-            pairs = pairs.select(
-                F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
-            if round_ == 0:
-                pairs = pairs.unionByName(inside)
+            pairs = inside
+            if few:
+                short = shared.filter(F.col("among") <= few)
+                pairs = pairs.unionByName(short.alias("l").join(short.alias("r"), _may_link(short, threshold, positions)).select(
+                    F.col("l.gid").alias("a"), F.col("r.gid").alias("b")))
+            if longer:
+                pairs = pairs.unionByName(_hub_pairs(long_lists, threshold, hubs))
         pairs = Stage(pairs.distinct(), "pairs")
         if pairs.read().isEmpty():
             pairs.drop()
-            if round_ == hub_rounds:
-                break
             continue
         links = verified(pairs.read(), sets, threshold)
         if found is not None:  # components so far, as stars
@@ -245,6 +230,19 @@ def linked_components(groups: DataFrame, shared: DataFrame, sets: Sets, threshol
     return found
 
 
+def _hub_pairs(postings: DataFrame, threshold: Threshold, hubs: int) -> DataFrame:
+    """Each group of a list with its hubs: the ends of the order, then others by a hash."""
+    marks = [c for c in PRINTS if c in postings.columns]
+    whole = F.struct("gid", "n", *marks)
+    chosen = [F.min(whole), F.max(whole), *[F.min_by(whole, F.xxhash64("gid", F.lit(k))) for k in range(2, hubs)]]
+    hub = postings.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("hubs"))
+    met = postings.join(hub, "token").select("gid", "n", *marks, F.explode("hubs").alias("hub")).filter(
+        "gid <> hub.gid").filter(threshold.sizes_allow(F.col("n"), F.col("hub.n")))
+    if marks:
+        met = met.withColumn("own", F.struct(*marks)).filter(threshold.prints_allow("own", "hub", F.col("n"), F.col("hub.n")))
+    return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
+
+
 def _few(shared: DataFrame, at_once: int) -> tuple[int, bool]:
     """The length (a power of two) up to which lists together make at most `at_once` pairs a posting; whether some are longer."""
     lengths = shared.groupBy(F.ceil(F.log2("among")).cast("int").alias("power")).agg(
@@ -286,6 +284,12 @@ def _may_link(postings: DataFrame, threshold: Threshold, positions: bool) -> Col
     return same
 
 
+def _node_pairs(now: DataFrame, threshold: Threshold, positions: bool) -> DataFrame:
+    """All pairs of single nodes in different components that share a token."""
+    return now.alias("l").join(now.alias("r"), _may_link(now, threshold, positions) & (F.col("l.label") != F.col("r.label"))).select(
+        F.col("l.gid").alias("a"), F.col("r.gid").alias("b"))
+
+
 def _all_pairs(now: DataFrame, members: DataFrame, threshold: Threshold, positions: bool) -> DataFrame:
     """All pairs of nodes in different components whose groups share a token or are the same."""
     left, right = now.alias("l"), now.alias("r")
