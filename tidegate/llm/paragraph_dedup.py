@@ -34,7 +34,7 @@ JACCARD = Threshold(80, 100)
 RECALL = 0.998
 MAX_BANDS = 8
 #: Candidates that all of a long list meet, before all pairs of what is left are looked at.
-HUBS = 3
+HUBS = 8
 #: Sets of so few members have their fingerprints for bitmaps.
 PRINTED = 256
 #: Paragraphs of so many words are compared, and runs of so many words go.
