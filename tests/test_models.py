@@ -222,3 +222,24 @@ def test_squared_hinge_reaches_the_minimum(spark):
     # one row (x = 1, s = 1): v = 2 (1 - 2 v) for both entries, v = 2 / 5
     one, = squared_hinge_fits(spark.createDataFrame([(0, 1, [1.0])], "fold int, y int, _x array<double>"), [HingeTask((1.0, 1.0))], 1)
     assert one.point == pytest.approx([0.4, 0.4]) and one.objective == pytest.approx(0.16 + 0.04)
+
+
+def test_fits_take_every_row(spark, monkeypatch):
+    """More benign rows than the published samples have: 80,000 for the detector, 100,000 for the isolation forest."""
+    from tidegate.models import stack as ST
+
+    train = spark.range(100_700).select(
+        F.col("id").alias("row_id"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), F.lit(0).alias("y"))
+    rows = {}
+
+    def isolation(benign, trees, sample_size, max_rows, seed):
+        rows["isolation"] = IS.subsample_rows(benign, max_rows, seed, key=["row_id"]).count()
+
+    monkeypatch.setattr(ST, "fit_one_class", lambda benign, *_: rows.update(one_class=benign.count()))
+    monkeypatch.setattr(TR, "fit_linear_svc", lambda *_: None)
+    monkeypatch.setattr(TR, "fit_isolation_forest", isolation)
+    monkeypatch.setattr(TR, "fit_stack", lambda train, validation, config: ST.benign_detectors(train, config))
+    TR.train_all(train.withColumn("split", F.lit("train")))
+    assert rows == {"isolation": 100_700, "one_class": 100_700}
+    forest = IS.fit_isolation_forest(train, 2, seed=1)
+    assert forest.sample_size == 256 and forest.threshold.max() > 90_000

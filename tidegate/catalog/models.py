@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegate.catalog import surrogates as S
 from tidegate.catalog.registry import register
-from tidegate.config import Config, LoacoConfig, ModelConfig
+from tidegate.config import Config, LoacoConfig
 from tidegate.functions.numbers import logistic
 from tidegate.models import features as FE
 from tidegate.models import forest as FO
@@ -31,8 +31,8 @@ from tidegate.plans import train as TR
 from tidegate.session import stage
 
 NAMES = [f"f{i:02d}" for i in range(64)]
-#: The library's settings; cross-validation of the forest takes all rows.
-SETTINGS = Config(models=ModelConfig(forest_cv_rows=None))
+#: The library's settings, with which every fit takes all rows.
+SETTINGS = Config()
 VW = "WITH " + S.VECTORS_SQL + " "
 PW = "WITH " + S.PREPARED_SQL + " "
 

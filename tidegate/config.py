@@ -31,14 +31,14 @@ class ModelConfig:
     forest_trees: int = 400
     # Spark trees stop at depth 30.
     forest_depth: int = 30
-    forest_cv_rows: int | None = 20_000
+    forest_cv_rows: int | None = None
     nu_grid: tuple[float, ...] = (0.05, 0.10, 0.20)
-    max_benign_rows: int | None = 80_000
+    max_benign_rows: int | None = None
     one_class_iterations: int = 60
     meta_c_grid: tuple[float, ...] = (0.1, 1.0, 10.0)
     meta_max_iter: int = 100
     isolation_trees: int = 200
-    isolation_max_rows: int | None = 100_000
+    isolation_max_rows: int | None = None
     isolation_sample: int = 256
 
 
@@ -60,5 +60,8 @@ class Config:
     loaco: LoacoConfig = field(default_factory=LoacoConfig)
 
 
-#: A fifth of the rows of each category, and no categories of fewer than 1500 rows.
-PUBLISHED = Config(data=DataConfig(sample_fraction=0.20, min_category_samples=1500))
+#: A fifth of the rows of each category, no categories of fewer than 1500 rows, and fits on samples of the rows.
+PUBLISHED = Config(
+    data=DataConfig(sample_fraction=0.20, min_category_samples=1500),
+    models=ModelConfig(forest_cv_rows=20_000, max_benign_rows=80_000, isolation_max_rows=100_000),
+)

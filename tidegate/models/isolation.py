@@ -97,9 +97,9 @@ def scale_scores(scored: DataFrame, raw: str = "raw", output: str = "p") -> Data
 
 
 def fit_isolation_forest(
-    benign: DataFrame, trees: int = 200, sample_size: int = 256, max_rows: int | None = 100_000, seed: int = 42
+    benign: DataFrame, trees: int = 200, sample_size: int = 256, max_rows: int | None = None, seed: int = 42
 ) -> IsolationForest:
-    """Expects row_id and features. A task never holds more than a few samples of `sample_size` rows."""
+    """Expects row_id and features; trees draw from all rows unless `max_rows` is given. A task never holds more than a few samples of `sample_size` rows."""
     base = subsample_rows(benign.select("row_id", "features"), max_rows, seed, key=["row_id"])
     with fit_input(base.select("row_id", vector_to_array("features").alias("x"))) as base:
         rows = base.count()
