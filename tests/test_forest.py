@@ -101,3 +101,45 @@ def test_large_pure_and_equal_nodes_are_leaves(spark):
     assert 0.3 < means.loc[2.0, "min"] == means.loc[2.0, "max"] < 0.7
     one_class = FO.score_forest(FO.fit_random_forest(rows.filter("y = 1"), 3, 30, 1, subtree_rows=100), rows)
     assert pd.unique(one_class.toPandas()["p"]).tolist() == [1.0]
+
+
+def test_nodes_that_are_counted_and_sorted_have_the_same_cuts(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, y = rng.integers(0, 40, (4000, 6)).astype(np.uint8), (rng.random(4000) < 0.2).astype(int)
+    rows[:, 5], rows[:1000, 0] = 9, 3
+    count = rng.integers(1, 5, 4000)
+    found = []
+    for counted in (1, 300, 10_000):
+        monkeypatch.setattr(T, "COUNTED_ROWS", counted)
+        monkeypatch.setattr(T, "COUNTED_AT_ONCE", 500)
+        found.append(T.grow(rows, y, count, (0.7, 2.1), 30, 2, 3, 1, 1))
+    for nodes in found[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(found[0], nodes, strict=True))
+    assert len(found[0][0]) > 500
+
+
+def test_trees_of_whole_tables_equal_those_of_shuffled_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 9))
+    x[:300] = 1.0
+    rows = vectors(spark, x, ((x[:, 0] > 0) ^ (x[:, 1] > 0.5) ^ (rng.random(1500) < 0.1)).astype(int)).repartition(3)
+    whole = FO.fit_random_forest(rows, 8, 12, 5, subtree_rows=200)
+    monkeypatch.setattr(FO, "HELD_PARTS", 0)
+    parts = FO.fit_random_forest(rows, 8, 12, 5, subtree_rows=200)
+    assert not whole.splits and parts.splits
+    both = FO.score_forest(parts, FO.score_forest(whole, rows, "a"), "b").toPandas()
+    assert np.abs(both["a"] - both["b"]).max() < 1e-7 and both["a"].nunique() > 100
+
+
+def test_forests_that_grow_together_equal_forests_alone(spark):
+    rng = np.random.default_rng(9)
+    x, kind = rng.normal(size=(900, 5)), np.array(["BENIGN", "a", "b"])[np.arange(900) % 3]
+    x[kind == "a", 0] += 2
+    x[kind == "b", 1] += 2
+    named = spark.createDataFrame([(i, k) for i, k in enumerate(kind.tolist())] + [(900, None)], "row_id long, category string")
+    rows = vectors(spark, np.r_[x, x[:1]], np.r_[kind != "BENIGN", True].astype(int)).join(named, "row_id")
+    together = FO.fit_random_forests(rows, [None, "a", "b", "BENIGN"], 6, 8, 3)
+    alone = [FO.fit_random_forest(t, 6, 8, 3) for t in (rows, *(rows.filter(F.col("category") != c) for c in ("a", "b", "BENIGN")))]
+    scored = rows.select("row_id", FO.mean_shares(together).alias("p"), *[m.score().alias(f"p{i}") for i, m in enumerate(alone)])
+    for r in scored.collect():
+        assert r.p == [r.p0, r.p1, r.p2, r.p3]

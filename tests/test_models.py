@@ -243,3 +243,28 @@ def test_fits_take_every_row(spark, monkeypatch):
     assert rows == {"isolation": 100_700, "one_class": 100_700}
     forest = IS.fit_isolation_forest(train, 2, seed=1)
     assert forest.sample_size == 256 and forest.threshold.max() > 90_000
+
+
+def test_loaco_rounds_share_their_passes(spark, splits):
+    """The same as a stack for each category, and three categories take hardly more jobs than one."""
+    from tidegate.models import stack as ST
+    from tidegate.operators import metrics as M
+
+    names, context = ["DoS", "DDoS", "Bot"], spark.sparkContext
+    train, validation, test = (TR.part(splits[0], n) for n in ("train", "val", "test"))
+    jobs, found = {}, {}
+    for some in (names[:1], names):
+        context.setJobGroup(f"loaco-{len(some)}", "rounds")
+        config = replace(SMALL, loaco=LoacoConfig(categories=tuple(some)))
+        found = {r.held_out_category: r for r in EV.loaco(splits[0], config).collect()}
+        jobs[len(some)] = len(context.statusTracker().getJobIdsForGroup(f"loaco-{len(some)}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert set(found) == set(names) and jobs[3] < 1.8 * jobs[1]
+    scored = ST.leave_out_scores(train, validation, test, names, SMALL).toPandas()
+    shared = ST.benign_detectors(train, SMALL)
+    for name in names:
+        model = ST.fit_stack(C.mask_category(train, name), C.mask_category(validation, name), SMALL, shared)
+        alone = model.transform(test).withColumn("held_out_category", F.lit(name)).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+        together = scored[scored["held_out_category"] == name]["p"]
+        assert np.allclose(np.sort(together), np.sort(alone.toPandas()["p"]), atol=1e-9)
+        assert M.loaco_metrics(alone).first() == found[name]

@@ -193,11 +193,14 @@ def stratified_split(
     return parts.withColumn("split", name).drop("_part")
 
 
-def stratified_folds(df: DataFrame, folds: int, seed: int, by: str = "y", key: Sequence[str] | None = None) -> DataFrame:
-    """Adds `fold` in 0..folds-1 with sizes per class that differ by at most one."""
+def stratified_folds(
+    df: DataFrame, folds: int, seed: int, by: str | Sequence[str] = "y", key: Sequence[str] | None = None
+) -> DataFrame:
+    """Adds `fold` in 0..folds-1 with sizes per class (or combination of `by`) that differ by at most one."""
     def limits(totals):
         for j in range(1, folds):
             totals = totals.withColumn(f"_k{j}", F.floor(F.col("n") * j / folds).cast("long"))
         return totals
 
-    return assign_parts(df, [by], seed, limits, folds, key).withColumnRenamed("_part", "fold")
+    strata = [by] if isinstance(by, str) else by
+    return assign_parts(df, strata, seed, limits, folds, key).withColumnRenamed("_part", "fold")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegate.config import Config
 from tidegate.functions.decision import at_least
-from tidegate.models.stack import benign_detectors, fit_stack
+from tidegate.models.stack import fit_stack, leave_out_scores
 from tidegate.operators import metrics as M
 from tidegate.operators.cleaning import mask_category
 from tidegate.plans.preprocess import preprocess, split_table
@@ -38,20 +38,19 @@ def loaco(splits: DataFrame, config: Config = Config(), prepared: DataFrame | No
     train, validation, test = (part(splits, n) for n in ("train", "val", "test"))
     checked = M.loaco_categories(train, config.loaco.categories).filter("present").orderBy("position")
     categories = [row.category for row in checked.collect()]
-    # Benign rows are the same in every round, so the detectors are fitted once.
-    shared = benign_detectors(train, config) if prepared is None else None
+    if not categories:
+        raise ValueError("no configured category occurs in the training rows")
+    flag = at_least(F.col("p"), config.threshold).cast("int").alias("yhat")
+    columns = ["held_out_category", "category", "y", flag]
+    if prepared is None:
+        return M.loaco_metrics(leave_out_scores(train, validation, test, categories, config).select(*columns))
     results = None
     for held_out in categories:
-        rows = (train, validation, test)
-        if prepared is not None:
-            rows = _refitted(prepared, held_out, config)
-        model = fit_stack(mask_category(rows[0], held_out), mask_category(rows[1], held_out), config, shared)
-        flag = at_least(F.col("p"), config.threshold).cast("int").alias("yhat")
-        scored = model.transform(rows[2]).select(F.lit(held_out).alias("held_out_category"), "category", "y", flag)
+        rows = _refitted(prepared, held_out, config)
+        model = fit_stack(mask_category(rows[0], held_out), mask_category(rows[1], held_out), config)
+        scored = model.transform(rows[2]).withColumn("held_out_category", F.lit(held_out)).select(*columns)
         scored = stage(scored, "loaco")
         results = scored if results is None else results.unionByName(scored)
-    if results is None:
-        raise ValueError("no configured category occurs in the training rows")
     return M.loaco_metrics(results)
 
 
